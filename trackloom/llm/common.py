@@ -58,6 +58,19 @@ def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Bytes of a side (keys and values, as counted from the written table) up to which it may be broadcast.
+BROADCAST_BYTES = 64_000_000
+
+
+def small_or_shuffled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder, with a broadcast hint if its strings, binaries and
+    numbers come to ``BROADCAST_BYTES`` at most; a larger one is joined by shuffle."""
+    kept, _ = saved(df, name)
+    wide = [F.sum(F.octet_length(F.coalesce(F.col(c), F.lit(b"" if t == "binary" else "")))) for c, t in kept.dtypes if t in ("string", "binary")]
+    rows, *sizes = kept.agg(F.count("*"), *wide).first()
+    return F.broadcast(kept) if rows * 32 + sum(x or 0 for x in sizes) <= BROADCAST_BYTES else kept
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(u, v)`` as ``(node, root)``.
 

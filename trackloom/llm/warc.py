@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from .common import scratch_path
+from .common import scratch_path, small_or_shuffled
 
 SEPARATOR = "\r\n\r\n"
 SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -39,9 +39,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """``(page_id, url, payload, digest, bytes, refers_to)``; refers_to is null for responses."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    # Only digests that stand more than once are joined back; the others' rows meet nothing.
-    groups = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("digest").alias("d"), "first")
-    joined = rows.join(groups, rows.digest == groups.d, "left")
+    # Only digests that stand more than once are joined back; payloads are shuffled only where those are too many to broadcast.
+    groups = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select(F.unhex("digest").alias("d"), "first")
+    joined = rows.join(small_or_shuffled(groups, "digests"), F.unhex(rows.digest) == F.col("d"), "left")
     return joined.select("page_id", "url", "payload", "digest", "bytes", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
 
