@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import url_filter
+from .common import small_or_shuffled
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -181,8 +182,9 @@ def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, url, text, n_chars)`` for every page; html is read twice and shuffled once, by host."""
-    won = consensus(pages, url_col, html_col).withColumnRenamed("host", "h")
+    """``(page_id, url, text, n_chars)`` for every page; html is read twice, and shuffled (by host) only where
+    the hosts' paths are too many to broadcast."""
+    won = small_or_shuffled(consensus(pages, url_col, html_col).withColumnRenamed("host", "h"), "paths")
     left = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_filter.host(F.col(url_col)).alias("host"))
     joined = left.join(won, left.host == won.h, "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(partial(_extract, extra=2), "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
