@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from .session import ship
 
 CLASSES = {"jpg": "image", "tif": "image", "arw": "raw", "mp4": "video"}
 
@@ -12,6 +12,7 @@ _SECONDS = "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
