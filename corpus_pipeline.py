@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 from trackloom.llm import decontaminate, jaccard_join, language, packing, pii
 from trackloom.llm.common import saved, table
 from trackloom.llm.entry import tokenizer_path
+from trackloom.session import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language is found (``und``); the column lang keeps its value."""
+    ship(spark)
     found = language.label(docs, language.train(docs), keep=docs.columns)
     return found.where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest id, of each component."""
+    ship(spark)
     groups, _ = saved(jaccard_join.jaccard_components(docs), "components")
     kept = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
     # Rows repeated under one id are one document.
@@ -39,12 +42,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; n_chars follows the text."""
+    ship(spark)
     clean = pii.redact(docs, pii.train(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents left, placed in sequences."""
+    ship(spark)
     return packing.pack(docs, tokenizer_path(), ids=False)
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def on_group(fn: Callable, **fixed) -> Callable:
     """``fn`` with some arguments fixed, as applyInArrow takes it (it reads type hints)."""
@@ -21,6 +23,7 @@ def on_group(fn: Callable, **fixed) -> Callable:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

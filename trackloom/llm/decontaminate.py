@@ -148,23 +148,25 @@ def _search(batches, index: Index, k: int, least: float):
                             n = int(count[d])
                             for size, place in places:
                                 first = max(0, min(word - place, n - size))
-                                spots.add((d, first, min(size, n)))
+                                spots.add((d, first, size))
                 if not spots:
                     continue
                 todo = sorted(spots)
                 windows, prints = [], []
                 for d, first, size in todo:
                     a = int(w.first[d]) + first
-                    s, _ = wh.shingle_hashes(h[a : a + size], np.array([0, size]), k)
+                    word = h[a : min(a + size, int(w.first[d + 1]))]
+                    s, _ = wh.shingle_hashes(word, np.array([0, len(word)]), k)
                     x, n = np.unique(s, return_counts=True)
                     windows.append(dict(zip(x.tolist(), n.tolist(), strict=True)))
                     prints.append(simhash(x, np.array([index.weight.get(y, 1.0) for y in x.tolist()]) * n))
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
                 for (d, first, size), window, items in zip(todo, windows, probe(index, np.array(prints, np.uint64)), strict=True):
                     for item in items.tolist():
-                        got = similarity(index, window, item)
+                        # A window is compared with items of its own size; a text shorter than an item is one window.
+                        got = similarity(index, window, item) if index.size[item] == size else 0.0
                         if got >= least - 1e-12 and got > best.get((d, item), (0.0, 0, 0))[0]:
-                            best[d, item] = (got, first, size)
+                            best[d, item] = (got, first, min(size, int(count[d])))
                 if best:
                     rows = sorted(best.items())
                     doc = batch.column(0).slice(i, j - i).take(pa.array([d for (d, _), _ in rows]))

@@ -225,7 +225,7 @@ def marginals(g: Graph, model: Model, rounds: int = 12) -> np.ndarray:
     return out / out.sum(1, keepdims=True)
 
 
-def find(text: str, model: Model, least: float = 0.9) -> tuple[list, list]:
+def find(text: str, model: Model, least: float = 0.8) -> tuple[list, list]:
     """Base spans and added spans, ``(start, kind, end)`` each."""
     if not text or not _TOKEN.search(text):
         return [], []
@@ -257,7 +257,7 @@ def _find(batches, model: Model, least: float):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names[:1] + ["spans"])
 
 
-def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.9) -> DataFrame:
+def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """``(doc_id, spans)``: per document its spans ``(start, end, kind, base)`` in order."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return rows.mapInArrow(partial(_find, model=model, least=least), "doc_id long, spans array<struct<start: bigint, end: bigint, kind: string, base: boolean>>")
@@ -281,7 +281,7 @@ def _redact(batches, model: Model, least: float, at: int):
         yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
 
-def redact(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.9) -> DataFrame:
+def redact(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.8) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets."""
     at = docs.columns.index(text_col)
     return docs.mapInArrow(partial(_redact, model=model, least=least, at=at), docs.schema)
