@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 ITEMS = 20_000
 RADIUS = 19
 WIDTHS = (13, 13, 13, 13, 12)

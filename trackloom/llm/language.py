@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 
-BLOCK = 3_000_000
+BLOCK = 2_000_000
 BITS = 16
 #: Script by the first byte of a character (fixed ranges of UTF-8): 0 Latin, 1 Greek, 2 Cyrillic, 3 Armenian or Hebrew,
 #: 4 Arabic, 5 Indic and South-East Asian, 6 kana, CJK marks, 7 Han, 8 Hangul, 9 other planes.

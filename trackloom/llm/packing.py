@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 #: Slots of a worker's table of known words, and ids it holds before it starts anew (results do not depend on either).
-SLOTS, POOL = 1 << 21, 1 << 24
+SLOTS, POOL = 1 << 20, 1 << 23
 #: Anything but plain Latin letters, ASCII signs and blanks, or a special token's beginning.
 _OTHER = "[^\\t\\n\\r -~À-ÖØ-öø-įı-ſ]|<\\|"
 _KIND = np.full(256, 3, dtype=np.uint8)
@@ -66,10 +66,11 @@ class Words:
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words back to back, and where each word's end."""
         chunks = [" ".join(words[i : i + 4000]) for i in range(0, len(words), 4000)]
-        ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)])
+        # One at a time: a batch's encodings would be held together, and by threads of their own.
+        ids = np.concatenate([np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype=np.uint32) for c in chunks])
         end = np.flatnonzero(self.ends[ids]) + 1
         if len(end) != len(words):
-            each = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+            each = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.uint32) for w in words]
             ids, end = np.concatenate(each), np.cumsum([len(x) for x in each])
         return ids, end
 
@@ -77,7 +78,7 @@ class Words:
         """Place in the pool and number of ids of every word; ``spell`` gives the words at positions."""
         if self.held > POOL:
             self.clear()
-        slot = (h >> np.uint64(43)).astype(np.int64)
+        slot = (h >> np.uint64(44)).astype(np.int64)
         at, size = self.at[slot], self.size[slot]
         miss = np.flatnonzero(self.key[slot] != h)
         if len(miss):
