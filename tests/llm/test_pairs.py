@@ -47,7 +47,7 @@ def base_text(n, seed):
 def test_components_edge_cases(spark):
     long_ = base_text(400, 1)
     near = [" ".join([*long_.split()[:i], "Changed", *long_.split()[i + 1 :]]) for i in range(30, 330, 20)]
-    texts = [None, "", "  \t\n", "one", "ONE", "a b c", "A b  c", "a b c d e", "a b c d e f", "é É é É é", long_, long_.upper(), long_ + " tail", *near, base_text(60, 2), base_text(60, 3)]
+    texts = [None, "", "  \t\n", "one", "ONE", "a b c", "A b  c", "a b c d e", "a b c d e f", "q r s t u v w", "q r s t u v w x", "é É é É é", long_, long_.upper(), long_ + " tail", *near, base_text(60, 2), base_text(60, 3)]
     rows = [(i, t, i, "x") for i, t in enumerate(texts, 5)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == brute_components([r[:2] for r in rows])
@@ -198,3 +198,13 @@ def test_field_adds_repeats_and_keeps_the_rest(spark, sf):
     assert got[1][1] == got[2][1] == got[4][1] == []
     redacted = pii.redact(spark.createDataFrame(rows, DOCS), model).collect()
     assert redacted[0].text == "Ring <PHONE> today, again <PHONE> please; page 12 of 2024." and redacted[1].text is None and redacted[0].key == "k"
+
+
+def test_long_runs_and_many_spans_cost_one_pass():
+    """Texts on which retrying at every character, or every pair of spans, would take minutes."""
+    text = " ".join(f"u{i}@mail.example.com +1 (988) 555-{i % 9000 + 1000} or 555-{i % 9000 + 1000} by" for i in range(3000))
+    model = pii.Model({}, np.array([[4.0, 0, 0, 0, 0]]), np.eye(5), np.eye(5) * 2)
+    for odd in ("x" * 300_000, "-" * 100_000 + "5" + "-" * 100_000, "é" * 100_000 + "1" * 100_000):
+        assert pii.find(odd, model) == ([], [])
+    base, _ = pii.find(text, model)
+    assert base == pii.base_spans(text) and len(base) == 6000

@@ -104,11 +104,11 @@ def _deal(batches, k: int, fragments: int, hot: np.ndarray):
         for batch in batches:
             for i, j in wh.slices(batch.column(0), BLOCK):
                 values, at, n, k1, _ = _sets(batch.column(0).slice(i, j - i), k)
-                # Sets of up to three shingles link with equal ones alone.
+                # Sets of one or two shingles link with equal ones alone (three of four reach the threshold).
                 _, first = np.unique(k1, return_index=True)
                 use = np.zeros(len(n), dtype=bool)
                 use[first] = True
-                use &= n > 3
+                use &= n > 2
                 owner = np.repeat(np.arange(len(n)), n)
                 keep = use[owner]
                 values, owner = values[keep], owner[keep]
