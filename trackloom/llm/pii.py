@@ -39,8 +39,11 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\s0-9@]*[0-9@]\S*")
-_TRIM = re.compile(r"^[^\w+(]+|[^\w)]+$")
+#: Tried at a token's first character alone, so a long run without a blank is read once.
+_TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
+_NODE = re.compile(r"[0-9@]")
+_HEAD = re.compile(r"[^\w+(]*+")
+_TAIL = re.compile(r"[^\w)]*+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -84,6 +87,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _core(token: str) -> tuple[int, str]:
+    """A token without the signs around it, and where that begins."""
+    a = _HEAD.match(token).end()
+    return a, token[a : len(token) - _TAIL.match(token[:a - 1 if a else None:-1]).end()]
+
+
 def _shape(token: str) -> str:
     """A token's outline: runs of letters, digits (with their number) and signs."""
     out = []
@@ -98,17 +107,21 @@ class Graph:
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
         self.span, self.shape, self.label = [], [], []
         keys, ordinal = [], []
-        at, bi = 0, 0
+        ahead = 0
         for m in _TOKEN.finditer(text):
-            token = m.group()
-            core = _TRIM.sub("", token)
+            a, core = _core(m.group())
             if not core:
                 continue
-            a = m.start() + token.find(core)
+            a += m.start()
             b = a + len(core)
             label = 0
-            for s, k, e in base:
-                if s < b and e > a:
+            while ahead < len(base) and base[ahead][2] <= a:
+                ahead += 1
+            for at in range(ahead, len(base)):
+                s, k, e = base[at]
+                if s >= b:
+                    break
+                if e > a:
                     label = k + 1
                     break
             self.span.append((a, b))
@@ -140,7 +153,7 @@ def _cases(batches):
     counts: dict[tuple, int] = defaultdict(int)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            if not text or not _TOKEN.search(text):
+            if not text or not _NODE.search(text):
                 continue
             g = Graph(text, base_spans(text))
             near, far = [[0] * _LABELS for _ in g.span], [[0] * _LABELS for _ in g.span]
@@ -154,7 +167,7 @@ def _cases(batches):
     yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))] + [pa.array([v for _, v in rows], pa.int64())], ["shape", "near", "far", "label", "n"])
 
 
-def train(docs: DataFrame, text_col: str = "text", max_rows: int = 20_000, steps: int = 150, rate: float = 0.5, l2: float = 1.0) -> Model:
+def train(docs: DataFrame, text_col: str = "text", max_rows: int = 20_000, steps: int = 150, rate: float = 0.5, l2: float = 0.1) -> Model:
     """Pseudo-likelihood fit; without any node the field adds nothing."""
     rows = docs.select(F.col(text_col).alias("text")).where("text is not null")
     n = docs.count()
@@ -191,43 +204,39 @@ def train(docs: DataFrame, text_col: str = "text", max_rows: int = 20_000, steps
 
 def marginals(g: Graph, model: Model, rounds: int = 12) -> np.ndarray:
     """Sum-product with fixed nodes; stops when messages settle."""
-    n = len(g.span)
     own = np.exp(model.node[[model.shapes.get(s, len(model.shapes)) for s in g.shape]])
     for i, label in enumerate(g.label):
         if label:
             own[i] = np.eye(_LABELS)[label]
-    edges = [(a, b, np.exp(model.chain)) for a, b in g.chain] + [(a, b, np.exp(model.skip)) for a, b in g.skip]
-    into: list[list[int]] = [[] for _ in range(n)]
-    directed = []
-    for a, b, w in edges:
-        for x, y in ((a, b), (b, a)):
-            into[y].append(len(directed))
-            directed.append((x, y, w))
-    back = [i ^ 1 for i in range(len(directed))]
-    message = np.ones((len(directed), _LABELS)) / _LABELS
+    pairs = np.array([*g.chain, *g.skip], dtype=np.int64).reshape(-1, 2)
+    # Each edge carries a message either way; the way back is the neighbouring row.
+    source, target = pairs.ravel(), pairs[:, ::-1].ravel()
+    back = np.arange(len(source)) ^ 1
+    chained = np.arange(len(source)) < 2 * len(g.chain)
+    chain, skip = np.exp(model.chain), np.exp(model.skip)
+    with np.errstate(divide="ignore"):
+        own = np.log(own)
+    message = np.full((len(source), _LABELS), 1 / _LABELS)
     for _ in range(rounds):
-        fresh = np.empty_like(message)
-        for i, (x, _, w) in enumerate(directed):
-            m = own[x].copy()
-            for k in into[x]:
-                if k != back[i]:
-                    m *= message[k]
-            m = m @ w
-            fresh[i] = m / m.sum()
+        log = np.log(message)
+        total = own.copy()
+        np.add.at(total, target, log)
+        out = total[source] - log[back]
+        out = np.exp(out - out.max(1, keepdims=True, initial=-np.inf))
+        fresh = np.where(chained[:, None], out @ chain, out @ skip)
+        fresh /= fresh.sum(1, keepdims=True)
         moved = np.abs(fresh - message).max(initial=0)
         message = fresh
         if moved < 1e-4:
             break
-    out = own
-    for i in range(n):
-        for k in into[i]:
-            out[i] = out[i] * message[k]
+    np.add.at(own, target, np.log(message))
+    out = np.exp(own - own.max(1, keepdims=True, initial=-np.inf))
     return out / out.sum(1, keepdims=True)
 
 
 def find(text: str, model: Model, least: float = 0.8) -> tuple[list, list]:
     """Base spans and added spans, ``(start, kind, end)`` each."""
-    if not text or not _TOKEN.search(text):
+    if not text or not _NODE.search(text):
         return [], []
     base = base_spans(text)
     g = Graph(text, base)
@@ -242,7 +251,18 @@ def find(text: str, model: Model, least: float = 0.8) -> tuple[list, list]:
                 added[-1] = (added[-1][0], k - 1, b)
             else:
                 added.append((a, k - 1, b))
-    return base, [s for s in added if not any(x[0] < s[2] and x[2] > s[0] for x in base)]
+    return base, [s for s, clash in zip(added, _clashes(added, base), strict=True) if not clash]
+
+
+def _clashes(added: list, base: list) -> list[bool]:
+    """Which added spans overlap a base span; both lists are in order of their starts."""
+    out, ahead, far = [], 0, 0  # far: the furthest end of the base spans that begin before
+    for a, _, b in added:
+        while ahead < len(base) and base[ahead][0] < b:
+            far = max(far, base[ahead][2])
+            ahead += 1
+        out.append(far > a)
+    return out
 
 
 def _find(batches, model: Model, least: float):
