@@ -26,16 +26,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each component."""
+    """Keeps one document, that with the smallest id, of each component.
+
+    A row without an id cannot be named, so it stays.
+    """
     ship(spark)
     groups, _ = saved(jaccard_join.jaccard_components(docs), "components")
     kept = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
     # Rows repeated under one id are one document.
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark; a row without an id stays."""
     hits, _ = saved(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), "hits")
     return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
