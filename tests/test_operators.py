@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trackloom.sources import gpx
 from trackloom.functions import scalar
-from trackloom.operators import asof, cluster, naming, relational
+from trackloom.operators import asof, cluster, naming, relational, spatial
 
 TRACK = "t long, lat double, lon double, file string, idx int"
 NOON = 12 * 3600
@@ -109,3 +110,39 @@ def test_results_do_not_depend_on_partitioning(spark):
     rows = spark.range(500).selectExpr("cast(id AS string) AS path", "id % 7 AS k")
     one, many = (relational.index_fingerprint(x, F.col("path"), F.concat_ws(" ", "path", "k")).first() for x in (rows.coalesce(1), rows.repartition(13)))
     assert one == many
+
+
+def test_gpx_folder(spark, tmp_path):
+    """Status of a folder, document order across segments, dropped points and files that are not well-formed."""
+    assert gpx.index(spark, None) == gpx.index(spark, "") == ("disabled", None)
+    assert gpx.index(spark, str(tmp_path / "none")) == ("missing", None)
+    folder = tmp_path / "tracks"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "bad.gpx").write_text("<gpx><trk><trkseg><trkpt lat='1' lon='1'>")
+    (folder / "bytes.gpx").write_bytes(b"<gpx>\xff\xfe</gpx>")
+    (folder / "other.xml").write_text("<gpx/>")
+    status, points = gpx.index(spark, str(folder))
+    assert status == "empty" and points.collect() == []
+    at = "<time>{}</time>"
+    (folder / "deep" / "a b.GPX").write_text(
+        "<?xml version='1.0'?><gpx xmlns='http://www.topografix.com/GPX/1/1'><trk/><trk><name>x</name><trkseg/><trkseg>"
+        f"<trkpt lat='1.5' lon='-2'><ele>3</ele>{at.format('2024-01-01T00:00:05Z')}</trkpt>"
+        f"<trkpt lat='91' lon='0'>{at.format('2024-01-01T00:00:06Z')}</trkpt><trkpt lat='1' lon='0'/><trkpt lon='0'>{at.format('2024-01-01T00:00:06Z')}</trkpt>"
+        f"</trkseg><trkseg><trkpt lat='nan' lon='0'>{at.format('2024-01-01T00:00:06Z')}</trkpt><trkpt lat='1' lon='0'>{at.format('2024-01-01T00:00:06.5Z')}</trkpt>"
+        f"<trkpt lat='1' lon='0'>{at.format('2024-01-01T00:00:06')}</trkpt><trkpt lat='-90' lon='180'>{at.format(' 2024-01-01T02:00:07.250000+02:00 ')}</trkpt>"
+        f"<trkpt lat='x' lon='0'>{at.format('2024-01-01T00:00:06Z')}</trkpt><trkpt lat='1' lon='0'>{at.format('2024-13-01T00:00:06Z')}</trkpt></trkseg></trk></gpx>"
+    )
+    status, points = gpx.index(spark, str(folder))
+    got = [(r.file, r.idx, r.t, r.lat, r.lon) for r in points.selectExpr("file", "idx", "unix_millis(time_utc) AS t", "lat", "lon").orderBy("idx").collect()]
+    assert status == "usable" and got == [("deep/a b.GPX", 0, 1704067205000, 1.5, -2.0), ("deep/a b.GPX", 7, 1704067207250, -90.0, 180.0)]
+    assert sorted(r.file for r in gpx.files(spark, str(folder)).collect()) == ["bad.gpx", "bytes.gpx", "deep/a b.GPX"]
+
+
+def test_nearest_segment_bounds(spark):
+    """A pause longer than the gap, a pause of no time and a segment out of reach give nothing."""
+    track = [(0, 50.0, 4.0, "a", 0), (100, 50.0, 4.01, "a", 1), (100, 50.5, 4.0, "a", 2), (5000, 50.5, 4.1, "a", 3)]
+    frames = [("on", 60, 50.0, 4.005), ("high", 60, 50.01, 4.005), ("pause", 60, 50.25, 4.005), ("late", 400_000, 50.0, 4.005), ("gap", 60, 50.5, 4.05)]
+    t = spark.createDataFrame(track, "t long, lat double, lon double, file string, idx long")
+    f = spark.createDataFrame(frames, "path string, t long, lat double, lon double")
+    got = spatial.nearest_segment(f, t).collect()
+    assert [(r.path, r.metres, r.offset_s, r.duration_s, r.point) for r in got] == [("on", 0.0, -10, 100, 0)]

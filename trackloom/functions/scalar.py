@@ -86,3 +86,60 @@ def camera_key(*fields: Column) -> Column:
 def op_id(*parts: Column) -> Column:
     """First 16 hex digits of the SHA-256 of the parts, each on a line of its own."""
     return F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, 16)
+
+
+def extrapolate(a: Column, b: Column, ta: Column, tb: Column, t: Column) -> Column:
+    """Value at t on the line from (ta, a) through the anchor (tb, b), to 6 digits; the anchor's where the span is zero."""
+    return F.round(F.when(ta == tb, b).otherwise(interpolate(a, b, ta, tb, t)), 6)
+
+
+def whole_seconds(seconds: Column) -> Column:
+    """Rounded half to even."""
+    return F.bround(seconds, 0).cast("long")
+
+
+def naive_date(text: Column) -> Column:
+    """Calendar date of a wall time's text; null where it is none."""
+    return F.date_format(naive_time(text), "yyyy-MM-dd")
+
+
+def taken_at(*fields: Column) -> Column:
+    """Wall time of the first field that is not null; a bad one is not rescued by a later field."""
+    return naive_time(F.coalesce(*fields))
+
+
+def zone_offset(naive: Column, zone: Column) -> Column:
+    """Seconds to add to a wall time to get UTC."""
+    return F.timestamp_diff("SECOND", naive, local_to_utc(naive, zone))
+
+
+def utc_to_text(utc: Column, zone: Column) -> tuple[Column, Column]:
+    """Wall time's text and ``+HH:MM`` of a UTC time in a zone."""
+    local = F.convert_timezone(F.lit("UTC"), zone, utc)
+    seconds = F.timestamp_diff("SECOND", utc, local)
+    minutes = F.floor(F.abs(seconds) / 60)
+    sign = F.when(seconds < 0, "-").otherwise("+")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.date_format(local, NAIVE), F.concat(sign, two(F.floor(minutes / 60)), F.lit(":"), two(minutes % 60))
+
+
+def gpx_time(text: Column) -> Column:
+    """Instant of ``YYYY-MM-DDTHH:MM:SSZ``, or of an ISO time (a fraction allowed) with an offset; else null."""
+    t = F.trim(text)
+    whole = t.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$")
+    offset = t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?[+-]\d{2}:\d{2}$")
+    return F.when(whole | offset, t.try_cast("timestamp"))
+
+
+def valid_coordinates(lat: Column, lon: Column) -> Column:
+    return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
+
+
+def valid_offset(seconds: Column) -> Column:
+    """Whether a clock offset is at most a day."""
+    return F.coalesce(F.abs(seconds) <= 86_400, F.lit(False))
+
+
+def priority(path: Column, order: list[str]) -> Column:
+    """Place of a path's top folder in ``order``; their number where it is not listed."""
+    return F.when(F.array_position(F.lit(order), top := F.split(path, "/")[0]) > 0, F.array_position(F.lit(order), top) - 1).otherwise(len(order))

@@ -48,3 +48,28 @@ def skip_reason(frames: DataFrame, track: DataFrame, matched: DataFrame, reach:
     near = left.withColumn("band", F.explode(F.expr(f"sequence(cast(floor(lat / {band}) as bigint) - 1, cast(floor(lat / {band}) as bigint) + 1)"))).join(p, "band")
     near = near.where(scalar.haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= reach).select("path").distinct().withColumn("near", F.lit(True))
     return left.join(near, "path", "left").select("path", F.when(F.col("near"), "outside_time_window").otherwise("no_nearby_track").alias("reason"))
+
+
+def nearest_segment(frames: DataFrame, track: DataFrame, reach: float = 25, window: int = 172_800, gap: int = 1800, band: float = 0.01) -> DataFrame:
+    """``(path, metres, offset_s, duration_s, point)``: the closest segment of adjacent points within reach.
+
+    A segment lasts more than 0 and at most ``gap`` seconds; the time at the
+    frame's projection lies within the window.  A segment goes to the bands of
+    latitude it crosses (so to few, as ``gap`` bounds it) and a frame to its own
+    band; ties go to the earlier segment.
+    """
+    pair = segments(track).select(*[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "ab" for c in ("t", "file", "idx", "lat", "lon")])
+    pair = pair.withColumn("span", F.col("bt") - F.col("at")).where((F.col("span") > 0) & (F.col("span") <= gap))
+    edge = reach * _DEGREE
+    pair = pair.withColumn("band", F.explode(F.expr(f"sequence(cast(floor((least(alat, blat) - {edge}) / {band}) as bigint), cast(floor((greatest(alat, blat) + {edge}) / {band}) as bigint))")))
+    pair = pair.withColumn("slot", F.floor(F.col("at") / window))
+    f = frames.select("path", "t", "lat", "lon").withColumn("band", F.floor(F.col("lat") / band))
+    f = f.withColumn("slot", F.explode(F.expr(f"sequence(cast(floor((t - {window + gap}) / {window}) as bigint), cast(floor((t + {window}) / {window}) as bigint))")))
+    bx, by = scalar.equirect(F.col("blat"), F.col("blon"), F.col("alat"), F.col("alon"))
+    px, py = scalar.equirect(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))
+    near = f.join(pair, ["band", "slot"]).select("path", "t", "at", "afile", "aidx", "span", *[c.alias(n) for c, n in ((bx, "bx"), (by, "by"), (px, "px"), (py, "py"))])
+    zero = F.lit(0.0)
+    metres, share = scalar.point_segment(F.col("px"), F.col("py"), zero, zero, F.col("bx"), F.col("by"))
+    near = near.withColumn("metres", metres).where(F.col("metres") <= reach).withColumn("when", F.col("at") + share * F.col("span")).where(F.abs(F.col("when") - F.col("t")) <= window)
+    best = near.groupBy("path", "t").agg(F.min(F.struct("metres", "at", "afile", "aidx", "when", "span")).alias("b"))
+    return best.select("path", F.round("b.metres", 2).alias("metres"), scalar.whole_seconds(F.col("b.when") - F.col("t")).alias("offset_s"), F.col("b.span").alias("duration_s"), F.col("b.aidx").alias("point"))

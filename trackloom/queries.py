@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .adapters import CLASSES, Tables, with_
 from .functions import scalar
 from .operators import asof, cluster, hierarchy, naming, relational, spatial
+from .sources import gpx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -518,3 +519,87 @@ def reprep_pending_j4(s):
 def anchor_exists_j21(s):
     times = s.track().select("t").distinct().withColumn("on_track", F.lit(True))
     return s.photos().join(times, "t", "left").groupBy("grp").agg(F.bool_or(F.col("native") & F.coalesce("on_track", F.lit(False))).alias("anchored"))
+
+
+# --- segments, tracks as texts, and further scalars ------------------------------------------
+
+_R = "6371000.0"
+
+
+@query(_NEAR + f""", s AS (SELECT * FROM (SELECT t AS at_, file, idx, lat AS alat, lon AS alon, lead(t) OVER w AS bt, lead(lat) OVER w AS blat, lead(lon) OVER w AS blon FROM track WINDOW w AS (ORDER BY t, file, idx)) WHERE bt - at_ BETWEEN 1 AND 1800),
+xy AS (SELECT f.path, f.t, s.*, radians(blon - alon) * cos(radians(alat)) * {_R} AS bx, radians(blat - alat) * {_R} AS b_y, radians(f.lon - alon) * cos(radians(alat)) * {_R} AS px, radians(f.lat - alat) * {_R} AS py
+  FROM f JOIN s ON s.at_ BETWEEN f.t - 174600 AND f.t + 172800 WHERE f.path NOT IN (SELECT path FROM near)),
+sh AS (SELECT *, CASE WHEN bx * bx + b_y * b_y = 0 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (px * bx + py * b_y) / (bx * bx + b_y * b_y))) END AS share FROM xy),
+d AS (SELECT *, sqrt(power(px - share * bx, 2) + power(py - share * b_y, 2)) AS metres, at_ + share * (bt - at_) AS at_frame FROM sh),
+best AS (SELECT * FROM d WHERE metres <= 200 AND abs(at_frame - t) <= 172800 QUALIFY row_number() OVER (PARTITION BY path, t ORDER BY metres, at_, file, idx) = 1)
+SELECT path, round(metres, 2) AS metres, round_even(at_frame - t, 0)::BIGINT AS offset_s, bt - at_ AS duration_s, idx AS point FROM best""")
+def nearest_segment_j6(s):
+    frames, track = s.photos().where("native"), s.track()
+    left = frames.join(spatial.nearest_point(frames, track).select("path"), "path", "left_anti")
+    return spatial.nearest_segment(left, track, reach=200)
+
+
+#: Points of one text of the test tables (each text holds so many events, not a user's whole series).
+_GPX_POINTS = 50
+
+
+@query(f"""SELECT event_id // {_GPX_POINTS} AS file, (event_id % {_GPX_POINTS})::INT AS idx, floor(epoch(ts))::BIGINT - CASE WHEN event_id % 13 = 0 THEN 9000 ELSE 0 END AS t, user_id % 91 + 0.5 AS lat, value / 100 AS lon
+FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 AND user_id % 91 + 0.5 <= 90 AND value / 100 <= 180""")
+def gpx_points_s4(s):
+    stamp = "concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), CASE WHEN event_id % 13 = 0 THEN '+02:30' WHEN event_id % 11 = 0 THEN '.5Z' ELSE 'Z' END)"
+    stamp = f"CASE WHEN event_id % 13 = 0 AND event_id % 11 = 0 THEN '2024-01-01T00:00:00' ELSE {stamp} END"
+    point = f"concat('<trkpt lat=\"', user_id % 91 + 0.5, '\" lon=\"', value / 100, '\">', CASE WHEN event_id % 7 = 0 THEN '' ELSE concat('<time> ', {stamp}, '</time>') END, '</trkpt>', CASE WHEN event_id % 5 = 0 THEN '</trkseg><trkseg>' ELSE '' END)"
+    block = s.events.selectExpr(f"event_id div {_GPX_POINTS} AS file", "event_id", f"{point} AS point").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("event_id", "point"))).alias("p"))
+    body = F.array_join(F.transform("p", lambda x: x["point"]), "")
+    texts = block.select("file", F.concat(F.lit("<gpx><trk/><trk><trkseg>"), body, F.lit("</trkseg></trk></gpx>")).alias("text"))
+    return gpx.parse(texts).select("file", "idx", F.unix_seconds("time_utc").alias("t"), "lat", "lon")
+
+
+@query("SELECT event_id, round(CASE WHEN user_id % 3 = 0 THEN user_id ELSE value + (user_id - value) * (17 / (user_id % 3)::DOUBLE) END, 6) AS at_17 FROM events")
+def extrapolate_x5(s):
+    span = F.col("user_id") % 3
+    return s.events.select("event_id", scalar.extrapolate(F.col("value"), F.col("user_id").cast("double"), F.lit(0).cast("long"), span, F.lit(17)).alias("at_17"))
+
+
+@query("SELECT event_id, round_even((event_id % 19 - 9) / 2.0::DOUBLE, 0)::BIGINT AS offset_s FROM events")
+def candidate_offset_x6(s):
+    return s.events.select("event_id", scalar.whole_seconds((F.col("event_id") % 19 - 9) / F.lit(2.0)).alias("offset_s"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS bucket FROM events")
+def naive_date_x8(s):
+    text = F.when(F.col("user_id") % 5 == 0, "0000:00:00 00:00:00").otherwise(F.date_format("ts", "yyyy:MM:dd HH:mm:ss"))
+    return s.events.select("event_id", scalar.naive_date(text).alias("bucket"))
+
+
+_ZONE = "CASE user_id % 3 WHEN 0 THEN 'Europe/Brussels' WHEN 1 THEN 'Asia/Kolkata' ELSE 'America/St_Johns' END"
+
+
+@query(f"SELECT event_id, (epoch(timezone('UTC', timezone({_ZONE}, date_trunc('second', ts)))) - epoch(date_trunc('second', ts)))::BIGINT AS off FROM events")
+def zone_offset_x12(s):
+    return s.events.select("event_id", scalar.zone_offset(F.col("ts").cast("timestamp_ntz"), F.expr(_ZONE)).alias("off"))
+
+
+@query(f"""WITH l AS (SELECT event_id, date_trunc('second', ts) AS utc, timezone({_ZONE}, timezone('UTC', date_trunc('second', ts))) AS local FROM events),
+o AS (SELECT *, ((epoch(local) - epoch(utc)) / 60)::BIGINT AS m FROM l)
+SELECT event_id, strftime(local, '%Y:%m:%d %H:%M:%S') AS local_time, CASE WHEN m < 0 THEN '-' ELSE '+' END || lpad((abs(m) // 60)::VARCHAR, 2, '0') || ':' || lpad((abs(m) % 60)::VARCHAR, 2, '0') AS zone_text FROM o""")
+def local_text_x14(s):
+    text, offset = scalar.utc_to_text(F.col("ts").cast("timestamp_ntz"), F.expr(_ZONE))
+    return s.events.select("event_id", text.alias("local_time"), offset.alias("zone_text"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 4 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN user_id % 4 = 1 THEN NULL WHEN user_id % 4 = 2 THEN '2001-02-03 04:05:06' ELSE NULL END AS taken FROM events")
+def file_time_x19(s):
+    own = F.expr("CASE user_id % 4 WHEN 0 THEN date_format(ts, 'yyyy:MM:dd HH:mm:ss') WHEN 1 THEN 'unknown' END")
+    created = F.expr("CASE WHEN user_id % 4 IN (1, 2) THEN '2001:02:03 04:05:06' END")
+    return s.events.select("event_id", F.date_format(scalar.taken_at(own, created, F.lit(None).cast("string")), "yyyy-MM-dd HH:mm:ss").alias("taken"))
+
+
+@query("SELECT event_id, coalesce(abs(user_id * 4000 - 100000) <= 86400, false) AS offset_ok, user_id * 2 - 50 BETWEEN -90 AND 90 AND value BETWEEN -180 AND 180 AS place_ok FROM events")
+def validators_f7(s):
+    return s.events.select("event_id", scalar.valid_offset(F.col("user_id") * 4000 - 100_000).alias("offset_ok"), scalar.valid_coordinates(F.col("user_id") * 2 - 50, F.col("value")).alias("place_ok"))
+
+
+@query(with_("files") + "SELECT path, CASE prio WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 3 END AS priority FROM files")
+def dedup_priority_f6(s):
+    return s.files().select("path", scalar.priority(F.col("path"), ["f3", "f1", "f0"]).cast("int").alias("priority"))
