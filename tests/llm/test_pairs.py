@@ -130,6 +130,18 @@ def test_leaks(spark):
     assert decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_in_blocks_weigh_as_in_one(spark, monkeypatch):
+    """Items that share a template, split into blocks of about two."""
+    monkeypatch.setattr(decontaminate, "ITEMS", 4)
+    template = base_text(24, 40)
+    items = [(i, f"{template} {base_text(9, 50 + i)}") for i in range(8)]
+    docs = [(i, f"{base_text(10, 60 + i)} {template} {' '.join(base_text(9, 50 + i).split()[: 9 - i])} {base_text(12, 80 + i)}") for i in range(8)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == want
+    assert 0 < len(want) < 8
+
+
 def test_leaks_on_data(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text) < 1500][:60]
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
