@@ -130,6 +130,17 @@ def test_leaks(spark):
     assert decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_off_alignment(spark):
+    """The item's halves in swapped order: the window over both is aligned with no shingle."""
+    items = [(1, base_text(36, 31)), (2, base_text(45, 32)), (3, "a b c d e f g " * 4)]
+    docs = [(i, f"{base_text(30, 33 + i)} {' '.join([*t.split()[len(t.split()) // 2 :], *t.split()[: len(t.split()) // 2]])} {base_text(30, 43 + i)}") for i, t in items]
+    docs += [(9, "a b c d e f g " * 9), (10, f"{items[0][1]} {' '.join(items[0][1].split()[5:])} {items[1][1]}")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == want
+    assert {(1, 1), (2, 2), (9, 3), (10, 1), (10, 2)} <= set(want)
+
+
 def test_leaks_in_blocks_weigh_as_in_one(spark, monkeypatch):
     """Items that share a template, split into blocks of about two."""
     monkeypatch.setattr(decontaminate, "ITEMS", 4)

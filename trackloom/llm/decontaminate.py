@@ -1,16 +1,21 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming
 blocks, exact weighted-shingle similarity.
 
-For each benchmark item, windows of the item's number of words are laid over a
-document.  Only windows aligned with a shingle of the item are fingerprinted:
-a window without any of the item's shingles has similarity 0.  Each window's
+Candidate items of a document are found by two ways.  Windows of an item's number
+of words, aligned with a shingle of the item, are fingerprinted: each window's
 64-bit SimHash (of its weighted shingles) is looked up in a multi-index: the
 fingerprint is cut into five blocks, and two fingerprints within ``RADIUS`` = 19
 bits agree in some block up to 3 bits, so probing all values within 3 bits of
-each block finds every item within the radius.  Candidates are verified exactly:
-sum of minimum over sum of maximum of the shingles' weights in window and item,
-a shingle's weight being 1 over the number of items of the whole benchmark that hold it.  Fingerprints
-of pairs at the threshold are 11 bits apart on average (deviation 3).
+each block finds every item within the radius.  What fingerprints miss is
+completed without loss: an item whose rarest shingles (so many that the others
+weigh less than the threshold's share of it) are all absent cannot reach the
+threshold; all items that share one of these are candidates.
+
+For each candidate the item-sized window slides over the whole document by one
+word, the overlap being kept as a running sum, and the best window is verified
+exactly: sum of minimum over sum of maximum of the shingles' weights in window
+and item, a shingle's weight being 1 over the number of items of the whole
+benchmark that hold it.
 
 The items go to the tasks; they are split into blocks of at most ``ITEMS``
 items, and the documents are read once for each block.  Shingles' holders are
@@ -40,6 +45,7 @@ from . import wordhash as wh
 
 BLOCK = 2_000_000
 ITEMS = 20_000
+PAIRS = 1_000_000
 RADIUS = 19
 WIDTHS = (13, 13, 13, 13, 12)
 _FLIPS = RADIUS // len(WIDTHS)
@@ -56,6 +62,8 @@ class Index:
     blocks: list[tuple[np.ndarray, np.ndarray]]  # of each block: offsets by value, items
     hit: dict[int, dict[int, list[tuple[int, int]]]]  # shingle length -> shingle -> (item's size, place in it)
     maybe: dict[int, np.ndarray]  # shingle length -> low bits that occur
+    sets: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]  # of items: sorted shingles, counts, weights, weight in all
+    rare: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # shingle length -> rare shingles, offsets, items that hold them
 
 
 def simhash(shingles: np.ndarray, weight: np.ndarray) -> np.uint64:
@@ -79,7 +87,7 @@ def table_of(holders: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x for x, _ in rows], np.uint64), np.array([1.0 / n for _, n in rows], float)
 
 
-def build(ids: list, texts: pa.Array, k: int, shared: tuple[np.ndarray, np.ndarray] | None = None) -> Index:
+def build(ids: list, texts: pa.Array, k: int, shared: tuple[np.ndarray, np.ndarray] | None = None, least: float = 0.75) -> Index:
     """Index of some items; ``shared`` are the whole benchmark's weights (else these items are all)."""
     w = wh.words(texts)
     h = w.hashes()
@@ -110,7 +118,24 @@ def build(ids: list, texts: pa.Array, k: int, shared: tuple[np.ndarray, np.ndarr
     for length, found in hit.items():
         maybe[length] = np.zeros(1 << _LUT, dtype=bool)
         maybe[length][np.array(list(found), np.uint64).astype(np.int64) & ((1 << _LUT) - 1)] = True
-    return Index(ids, size, shingles, shared, prints, blocks, {a: dict(b) for a, b in hit.items()}, maybe)
+    sets, first = [], defaultdict(list)
+    for i, c in enumerate(shingles):
+        keys = np.sort(np.array(list(c), np.uint64))
+        counts = np.array([c[x] for x in keys.tolist()], np.int64)
+        weight = weigh(shared, keys)
+        total = float(weight @ counts)
+        sets.append((keys, counts, weight, total))
+        # The rarest shingles, until those left cannot reach the threshold by themselves.
+        order = np.argsort(-weight, kind="stable")
+        left = total - np.cumsum((weight * counts)[order])
+        first[min(k, int(size[i]))] += [(x, i) for x in keys[order[: int(np.count_nonzero(left >= least * total - 1e-9)) + 1]].tolist()]
+    rare = {}
+    for length, rows in first.items():
+        if rows:
+            rows.sort()
+            keys, offsets = np.unique(np.array([x for x, _ in rows], np.uint64), return_index=True)
+            rare[length] = keys, np.append(offsets, len(rows)), np.array([i for _, i in rows], np.int64)
+    return Index(ids, size, shingles, shared, prints, blocks, {a: dict(b) for a, b in hit.items()}, maybe, sets, rare)
 
 
 def probe(index: Index, prints: np.ndarray) -> list[np.ndarray]:
@@ -145,6 +170,68 @@ def similarity(index: Index, window: dict[int, int], item: int) -> float:
     return low / high if high else 0.0
 
 
+def _sharing(index: Index, length: int, s: np.ndarray, at: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Rows ``(text, item)`` of all items that share a rare shingle with a text."""
+    keys, offsets, items = index.rare[length]
+    code = np.minimum(np.searchsorted(keys, s[hits]), len(keys) - 1)
+    same = keys[code] == s[hits]
+    text = np.searchsorted(at, hits[same], side="right") - 1
+    seen = np.unique(text * len(keys) + code[same])
+    text, code = seen // len(keys), seen % len(keys)
+    size = offsets[code + 1] - offsets[code]
+    total, out = np.cumsum(size), [np.zeros(0, np.int64)]
+    i = 0
+    while i < len(seen):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - size[i] + PAIRS, side="right")))
+        n = size[i:j]
+        spot = np.repeat(offsets[code[i:j]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out.append(np.unique(np.repeat(text[i:j], n) * len(index.ids) + items[spot]))
+        i = j
+    pairs = np.unique(np.concatenate(out))
+    return np.stack((pairs // len(index.ids), pairs % len(index.ids)), 1)
+
+
+def best_window(index: Index, s: np.ndarray, weight: np.ndarray, n_words: int, item: int, least: float) -> tuple[float, int] | None:
+    """Similarity and first word of the best of all item-sized windows of a text, if at ``least`` or more.
+
+    ``s`` are the text's shingles of the item's shingle length, ``weight`` the running sum of their weights.
+    """
+    keys, counts, own, total = index.sets[item]
+    size = int(index.size[item])
+    code = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    q = np.flatnonzero(keys[code] == s)
+    code = code[q]
+    if own @ np.minimum(np.bincount(code, minlength=len(keys)), counts) < least * total - 1e-9:
+        return None
+    # A text shorter than the item is one window.
+    m = size - (n_words - len(s)) if n_words >= size else len(s)
+    last = len(s) - m
+    # An occurrence adds to the windows that hold it and fewer than the item's count of it before.
+    order = np.argsort(code, kind="stable")
+    q, code = q[order], code[order]
+    back = np.arange(len(q)) - counts[code]
+    before = np.where((back >= 0) & (code[back] == code), q[back], -1)
+    lo, hi = np.maximum(np.maximum(q - m, before) + 1, 0), np.minimum(q, last)
+    ok = lo <= hi
+    step = np.zeros(last + 2)
+    np.add.at(step, lo[ok], own[code[ok]])
+    np.add.at(step, hi[ok] + 1, -own[code[ok]])
+    low = np.cumsum(step)[: last + 1]
+    value = low / (weight[m:] - weight[: last + 1] + total - low)
+    if value.max() < least - 1e-9:
+        return None
+    # Running sums are rounded; windows that may be the best are compared exactly.
+    best, known = None, {}
+    for a in np.flatnonzero(value >= value.max() - 1e-9).tolist():
+        name = s[a : a + m].tobytes()
+        if name not in known:
+            x, n = np.unique(s[a : a + m], return_counts=True)
+            known[name] = similarity(index, dict(zip(x.tolist(), n.tolist(), strict=True)), item)
+        if known[name] >= least - 1e-12 and (best is None or known[name] > best[0]):
+            best = known[name], a
+    return best
+
+
 def _search(batches, index: Index, k: int, least: float):
     names = ["doc_id", "item_id", "similarity", "start_word", "n_words"]
     with np.errstate(over="ignore"):
@@ -153,12 +240,16 @@ def _search(batches, index: Index, k: int, least: float):
                 w = wh.words(batch.column(1).slice(i, j - i))
                 h, count = w.hashes(), w.counts
                 spots: set[tuple[int, int, int]] = set()  # text, first word, words
+                runs, pairs = {}, set()
                 for length, found in index.hit.items():
                     # Every run of so many words, whatever the text's length.
                     s, at = wh.shingle_hashes(h, w.first, length)
                     if length < k:
                         s = np.where(np.repeat(count, np.diff(at)) >= length, s, 0)
-                    for p in np.flatnonzero(index.maybe[length][(s & np.uint64((1 << _LUT) - 1)).astype(np.int64)]).tolist():
+                    hits = np.flatnonzero(index.maybe[length][(s & np.uint64((1 << _LUT) - 1)).astype(np.int64)])
+                    runs[length] = s, at
+                    pairs.update(map(tuple, _sharing(index, length, s, at, hits).tolist()))
+                    for p in hits.tolist():
                         if places := found.get(int(s[p])):
                             d = int(np.searchsorted(at, p, side="right")) - 1
                             word = p - int(at[d])
@@ -169,25 +260,29 @@ def _search(batches, index: Index, k: int, least: float):
                 if not spots:
                     continue
                 todo = sorted(spots)
-                windows, prints = [], []
+                prints = []
                 for d, first, size in todo:
                     a = int(w.first[d]) + first
                     word = h[a : min(a + size, int(w.first[d + 1]))]
                     s, _ = wh.shingle_hashes(word, np.array([0, len(word)]), k)
                     x, n = np.unique(s, return_counts=True)
-                    windows.append(dict(zip(x.tolist(), n.tolist(), strict=True)))
                     prints.append(simhash(x, weigh(index.shared, x) * n))
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for (d, first, size), window, items in zip(todo, windows, probe(index, np.array(prints, np.uint64)), strict=True):
-                    for item in items.tolist():
-                        # A window is compared with items of its own size; a text shorter than an item is one window.
-                        got = similarity(index, window, item) if index.size[item] == size else 0.0
-                        if got >= least - 1e-12 and got > best.get((d, item), (0.0, 0, 0))[0]:
-                            best[d, item] = (got, first, min(size, int(count[d])))
-                if best:
-                    rows = sorted(best.items())
-                    doc = batch.column(0).slice(i, j - i).take(pa.array([d for (d, _), _ in rows]))
-                    yield pa.RecordBatch.from_arrays([doc, pa.array([index.ids[x] for (_, x), _ in rows], pa.int64()), pa.array([round(v[0], 6) for _, v in rows], pa.float64()), pa.array([v[1] for _, v in rows], pa.int64()), pa.array([v[2] for _, v in rows], pa.int64())], names)
+                for (d, _, size), items in zip(todo, probe(index, np.array(prints, np.uint64)), strict=True):
+                    # A window is compared with items of its own size.
+                    pairs.update((d, x) for x in items.tolist() if index.size[x] == size)
+                rows, now = [], None
+                for d, item in sorted(pairs):
+                    length = min(k, int(index.size[item]))
+                    if now != (d, length):
+                        now = d, length
+                        s, at = runs[length]
+                        s = s[at[d] : at[d + 1]]
+                        weight = np.concatenate(([0.0], np.cumsum(weigh(index.shared, s))))
+                    if best := best_window(index, s, weight, int(count[d]), item, least):
+                        rows.append((d, item, round(best[0], 6), best[1], min(int(index.size[item]), int(count[d]))))
+                if rows:
+                    doc = batch.column(0).slice(i, j - i).take(pa.array([r[0] for r in rows]))
+                    yield pa.RecordBatch.from_arrays([doc, pa.array([index.ids[r[1]] for r in rows], pa.int64()), *(pa.array([r[c] for r in rows], y) for c, y in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))], names)
 
 
 def _held(batches, k: int):
@@ -220,7 +315,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).toArrow()
         with np.errstate(over="ignore"):
-            index = build(part.column("id").to_pylist(), part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string()), k, shared)
+            index = build(part.column("id").to_pylist(), part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string()), k, shared, least)
         index.hit = {a: dict(x) for a, x in index.hit.items()}
         found = rows.mapInArrow(partial(_search, index=index, k=k, least=least), "doc_id long, item_id long, similarity double, start_word long, n_words long")
         out = found if out is None else out.union(found)
