@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trackloom.llm import common, decontaminate, jaccard_join, pii
@@ -130,6 +131,25 @@ def test_leaks(spark):
     assert decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_templated_items():
+    """Most of an item's shingles are held by nine others, so few shingles make its fingerprint."""
+    rng = np.random.default_rng(8)
+    template = base_text(104, 90).split()
+    items = [(i, " ".join([*template, *base_text(6, 91 + i).split()])) for i in range(10)]
+    docs = []
+    for d in range(150):
+        word = items[d % 10][1].split()
+        word[:4] = [f"z{x}" for x in rng.integers(0, 10**6, 4)]
+        docs.append((d, " ".join(word)))
+    want = brute_leaks(docs, items)
+    with np.errstate(over="ignore"):
+        index = decontaminate.build([i for i, _ in items], pa.array([t for _, t in items]), 5)
+        batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+        got = [r for b in decontaminate._search([batch], index, 5, 0.75) for r in b.to_pylist()]
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == want
+    assert len(want) > 50
+
+
 def test_leaks_off_alignment(spark):
     """The item's halves in swapped order: the window over both is aligned with no shingle."""
     items = [(1, base_text(36, 31)), (2, base_text(45, 32)), (3, "a b c d e f g " * 4)]
