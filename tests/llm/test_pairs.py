@@ -243,6 +243,20 @@ def test_field_adds_repeats_and_keeps_the_rest(spark, sf):
     assert redacted[0].text == "Ring <PHONE> today, again <PHONE> please; page 12 of 2024." and redacted[1].text is None and redacted[0].key == "k"
 
 
+def test_field_reaches_every_repetition(spark, sf):
+    """A number fixed once, then bare a hundred times, and once in spaced groups."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = spark.createDataFrame([(9000 + i, f"call +1 (900) 555-{1000 + i} or write ab{i}@mail.example.com from 10.0.0.{i} now") for i in range(60)], "doc_id long, text string")
+    model = pii.train(docs.select("doc_id", "text").union(more))
+    for bare in ("555-7777", "5557777"):
+        text = "Ring +1 (900) 555-7777 today" + f", again {bare} please" * 100 + "; page 12 of 2024, room 5558888."
+        base, added = pii.find(text, model)
+        assert len(base) == 1 and [text[a:b] for a, _, b in added] == [bare] * 100 and {k for _, k, _ in added} == {3}
+    text = "Ring +1 (900) 555-7777 today, again 900 555 7777 please; page 12 of 2024, room 900 555 8888."
+    base, added = pii.find(text, model)
+    assert len(base) == 1 and [(text[a:b], k) for a, k, b in added] == [("900 555 7777", 3)]
+
+
 def test_long_runs_and_many_spans_cost_one_pass():
     """Texts on which retrying at every character, or every pair of spans, would take minutes."""
     text = " ".join(f"u{i}@mail.example.com +1 (988) 555-{i % 9000 + 1000} or 555-{i % 9000 + 1000} by" for i in range(3000))
