@@ -150,6 +150,19 @@ def test_consensus_outvotes_a_page(spark):
     assert got[9] == "Short."
 
 
+def test_two_templates_and_lists(spark):
+    """A host of two templates, the smaller with a teaser on the larger's path; and articles that are mostly lists."""
+    one = "<body><div class='box'><p>%s</p></div></body>"
+    two = "<body><div class='box'><p>Teaser.</p></div><main><div class='post'><h1>Title</h1><p>%s</p></div></main></body>"
+    empty = "<body><div class='box'></div><section><p>Only here.</p></section></body>"
+    listed = "<body><article><h1>Steps</h1><p>Do this.</p><ul><li>%s</li><li>then that</li></ul><p>Done.</p></article></body>"
+    long_ = "words " * 39 + "end"
+    rows = [(i, "http://h.org/", one % long_) for i in range(6)] + [(i, "http://h.org/", two % long_) for i in range(6, 9)] + [(9, "http://h.org/", empty)]
+    rows += [(i, "http://l.org/", listed % long_) for i in range(10, 13)]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: long_ for i in range(6)}, **{i: f"Title {long_}" for i in range(6, 9)}, 9: "Only here.", **{i: f"Steps Do this. {long_} then that Done." for i in range(10, 13)}}
+
+
 def test_urls(spark):
     urls = {1: "http://x.org/a?b", 2: "http://example.org/es/1", 3: "http://www.EXAMPLE.org/en/12", 4: "http://a.com/fr/1", 5: "http://a.com/de/", 6: None, 7: "no url", 8: "http://blog.casino-win.example.net/es/1", 9: "http://blog.ththon.example.net/es/1", 10: "http://x.org", 11: "http://xorg/", 12: "ftp://h?q/", 13: "http://a.com/de\nx#y"}
     rows = spark.createDataFrame([(k, u) for k, u in urls.items()], "page_id long, url string")

@@ -3,10 +3,15 @@
 Each page is parsed once to score its containers: text in paragraphs and
 headings directly inside counts fully, a level further in by half, less the
 text in links.  A container's path is its chain of ``tag.class`` names with
-numbers generalised.  Each page votes for its best path, weighted by text; the
-votes are summed per host in Spark (partial sums first, so a hot host is a row
-a task).  Every page is then re-extracted from the containers on its host's
-winning path; a page without that path uses its own best container.
+numbers generalised; lists and quotations are part of the container around them.
+Each page votes for its best path, weighted by text, and tells which paths hold
+text on it; both are summed per host in Spark (partial sums first, so a hot host
+is a row a task).  A host's winning paths are the one of most weight and all that
+win on half of the pages that have them, on two at least.  Every page is then
+re-extracted from the winning path with the most text on it.  It uses its own
+best container instead if it has no text on a winning path, or less than half
+as much as there; but not if the host's pages outvote that container (it wins
+on fewer than half of the pages that have it) and there is a winning path.
 
 Left out everywhere: scripts, styles, forms, navigation, asides, footers, page
 headers, and containers whose class or id names menus, adverts, notices,
@@ -42,6 +47,8 @@ RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "
 DROPPED = {"nav", "aside", "footer", "form", "menu", "dialog"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "table", "tbody", "tr", "td", "th", "ul", "ol", "dl", "li", "blockquote", "figure", "center", "details", "fieldset"} | DROPPED
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dt", "dd", "figcaption", "br", "hr", "address", "caption", "summary"}
+#: Parts of running text: what is in them counts for the container around them, and they get no vote.
+LISTS = {"ul", "ol", "dl", "li", "blockquote"}
 #: Words of classes and ids that mark parts that are not the article.
 _ASIDE = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|widget|ad|ads|advert|adverts|advertisement|advertising|banner|promo|promotion|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|recommendations|comment|comments|replies|reply|disqus|discussion|respond|tags|pagination|pager|toolbar|skip|copyright|legal|disclaimer)(?:$|[\s_-])", re.I
@@ -93,7 +100,7 @@ def parse(html: str):
                 path, _, kept, _ = containers[parent]
                 inside = "article" in path or "main" in path
                 kept = kept and tag not in DROPPED and not (tag == "header" and not inside) and not (tag not in ("html", "body", "article", "main") and _ASIDE.search(said))
-                bonus = 1.5 if tag in ("article", "main") or _ARTICLE.search(said) else 1.0
+                bonus = 0.0 if tag in LISTS else 1.5 if tag in ("article", "main") or _ARTICLE.search(said) else 1.0
                 step = tag + "".join(f".{c}" for c in sorted(_NUMBER.sub("N", classes).lower().split()))
                 containers.append((f"{path}>{step}", parent, kept, bonus))
                 if not rest.endswith("/"):
@@ -107,30 +114,46 @@ def parse(html: str):
     return containers, runs
 
 
-def best_path(containers, runs) -> tuple[str, float]:
-    """The container path with most text of its own, and that text's weight."""
+def scores(containers, runs) -> dict[str, float]:
+    """Weight of the text of each path's containers."""
     own, linked = [0.0] * len(containers), [0.0] * len(containers)
     for c, _, text, link in runs:
         size = len(text) - text.count(" ")
         own[c] += size
         linked[c] += size * link
+    home = []
+    for i, (_, parent, _, bonus) in enumerate(containers):
+        home.append(i if bonus else home[parent])
     score = [0.0] * len(containers)
-    for i, (_, parent, kept, _) in enumerate(containers):
+    for i, (_, _, kept, _) in enumerate(containers):
         if kept:
             text = max(0.0, own[i] - 2 * linked[i])
-            score[i] += text
-            up = parent
-            for share in (0.5, 0.25):
+            at = home[i]
+            for share in (1.0, 0.5, 0.25):
+                score[at] += share * text
+                up = containers[at][1]
                 if up < 0 or not containers[up][2]:
                     break
-                score[up] += share * text
-                up = containers[up][1]
+                at = home[up]
     total: dict[str, float] = {}
     for i, (path, _, kept, bonus) in enumerate(containers):
         if kept:
             total[path] = total.get(path, 0.0) + bonus * score[i]
-    path = max(sorted(total), key=total.__getitem__)
-    return path, total[path]
+    return total
+
+
+def most(total: dict[str, float], paths) -> str:
+    return max(sorted(paths), key=total.__getitem__)
+
+
+def choose(total: dict[str, float], won: str | None, voted: list[str], outvoted: list[str]) -> str:
+    """The path to take a page's text from; see the module's first lines."""
+    own = most(total, total)
+    known = [p for p in {won, *voted} if total.get(p, 0.0) > 0]
+    if known:
+        best = most(total, known)
+        return best if own in outvoted or 2 * total[best] >= total[own] else own
+    return won if won in total and own in outvoted else own
 
 
 def text_of(containers, runs, path: str) -> str:
@@ -154,31 +177,51 @@ def text_of(containers, runs, path: str) -> str:
 
 
 def _vote(batches):
+    names = ["host", "path", "weight", "wins", "seen"]
     for batch in batches:
-        out = [best_path(*parse(h)) if h else ("", 0.0) for h in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in out], pa.string()), pa.array([int(s) for _, s in out], pa.int64())], ["host", "path", "weight"])
+        votes: dict[tuple[str, str], list[int]] = {}
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not html:
+                continue
+            exact = scores(*parse(html))
+            total = {p: int(x) for p, x in exact.items() if x >= 1}
+            for path in total:
+                votes.setdefault((host, path), [0, 0, 0])[2] += 1
+            if total:
+                path = most(exact, exact)
+                vote = votes[host, path]
+                vote[0] += total[path]
+                vote[1] += 1
+        rows = list(votes.items())
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in rows], pa.string()) for i in range(2)), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in range(3))], names)
 
 
 def _extract(batches, extra: int):
     for batch in batches:
         out = []
-        for html, path in zip(batch.column(extra).to_pylist(), batch.column(extra + 1).to_pylist(), strict=True):
+        for html, won, *lists in zip(*(batch.column(extra + i).to_pylist() for i in range(4)), strict=True):
             if not html:
                 out.append("")
                 continue
             containers, runs = parse(html)
-            if path is None or not any(c[0] == path and c[2] for c in containers):
-                path = best_path(containers, runs)[0]
-            out.append(text_of(containers, runs, path))
+            voted, outvoted = (x.split("\n") if x else [] for x in lists)
+            out.append(text_of(containers, runs, choose(scores(containers, runs), won, voted, outvoted)))
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(extra)), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, path)``: each host's winning path; ties go to the alphabetically first."""
+    """``(host, path, voted, outvoted)``: each host's path of most weight (ties go to the alphabetically first), and,
+    a line each, the paths that win on half of the pages they are on and on two at least, and those that win on fewer."""
     hosts = pages.select(url_filter.host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    votes = hosts.mapInArrow(_vote, "host string, path string, weight long").where("weight > 0")
-    summed = votes.groupBy("host", "path").agg(F.sum("weight").alias("weight"))
-    return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("weight"), "path")).alias("path"))
+    votes = hosts.mapInArrow(_vote, "host string, path string, weight long, wins long, seen long")
+    summed = votes.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("weight", "wins", "seen"))).where("wins > 0")
+
+    def lines(which: str) -> F.Column:
+        return F.array_join(F.sort_array(F.collect_list(F.expr(f"CASE WHEN {which} THEN path END"))), "\n")
+
+    return summed.groupBy("host").agg(
+        F.min_by("path", F.struct(-F.col("weight"), "path")).alias("path"), lines("2 * wins >= seen AND wins > 1").alias("voted"), lines("2 * wins < seen").alias("outvoted")
+    )
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -186,5 +229,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     the hosts' paths are too many to broadcast."""
     won = small_or_shuffled(consensus(pages, url_col, html_col).withColumnRenamed("host", "h"), "paths")
     left = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_filter.host(F.col(url_col)).alias("host"))
-    joined = left.join(won, left.host == won.h, "left").select("page_id", "url", "html", "path")
+    joined = left.join(won, left.host == won.h, "left").select("page_id", "url", "html", "path", "voted", "outvoted")
     return joined.mapInArrow(partial(_extract, extra=2), "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
