@@ -26,15 +26,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each component.
+    """Keeps one row, that with the smallest id, of each component.
 
-    A row without an id cannot be named, so it stays.
+    Rows are told apart by a 64-bit hash of all their columns, so unlike texts
+    under one id are judged each by itself; equal rows are one.  A row without
+    an id cannot be named, so it stays.
     """
     ship(spark)
-    groups, _ = saved(jaccard_join.jaccard_components(docs), "components")
-    kept = docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    # Rows repeated under one id are one document.
-    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(*docs.columns)
+    row = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    rows = docs.where("doc_id is not null").withColumn("_row", row)
+    groups, _ = saved(jaccard_join.jaccard_components(rows, id_col="_row"), "components")
+    ids = rows.select("_row", "doc_id").distinct()
+    named = groups.select(F.col("doc_id").alias("_row"), "component_id").distinct().join(ids, "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("least")).select("least._row")
+    kept = rows.join(first, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

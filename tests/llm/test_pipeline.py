@@ -72,6 +72,13 @@ def test_run(spark, folder):
         assert seq[0][0] == 0 and sum(seq[-1]) <= 2048 and all(a + n == b for (a, n), (b, _) in zip(seq, seq[1:], strict=False))
 
 
+def test_unlike_texts_under_one_id(spark, folder):
+    x, y, z, v = (base_text(60, 80 + i) for i in range(4))
+    rows = [(3, x), (5, x), (5, y), (7, f"{y} tail"), (8, z), (8, v), (8, v), (2, f"{v} end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    assert texts_of(corpus_pipeline.near_duplicates(spark, docs, folder)) == [(2, f"{v} end"), (3, x), (5, y), (8, z)]
+
+
 def test_no_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
