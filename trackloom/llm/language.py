@@ -7,9 +7,15 @@ log-likelihoods of its hashed byte trigrams, edges included.  Viterbi over the
 words, with a penalty for each change of language, labels spans; a document's
 language is the one that covers most letter bytes.
 
+A long text is cut, for Viterbi, at words whose best language beats every other
+by more than twice the penalty: any best path has that language there, so the
+parts are labelled side by side without changing the result.
+
 Training counts trigrams on the executors, over at most about ``max_rows``
-labelled rows chosen by a hash of the id, and gathers one table of
-languages x 2^16 counts.
+labelled rows: an equal share of them for every language (all rows of a
+language that has fewer), chosen by a hash of the id.  One table of languages x
+2^16 counts is gathered; a column of more than ``MOST`` distinct languages is
+no language column and raises ValueError.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0;
 ties go to the alphabetically first language.  Without any labelled row every
@@ -18,6 +24,7 @@ text gets ``und``.  Repeated rows are each labelled; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import partial
 
@@ -30,6 +37,10 @@ from . import wordhash as wh
 
 BLOCK = 2_000_000
 BITS = 16
+#: Distinct languages that a model may have (its table takes 256 kB a language).
+MOST = 1024
+#: Words of a text's part, at least, where it is cut for Viterbi.
+PART = 1024
 #: Script by the first byte of a character (fixed ranges of UTF-8): 0 Latin, 1 Greek, 2 Cyrillic, 3 Armenian or Hebrew,
 #: 4 Arabic, 5 Indic and South-East Asian, 6 kana, CJK marks, 7 Han, 8 Hangul, 9 other planes.
 _SCRIPT = np.zeros(256, dtype=np.int8)
@@ -96,9 +107,18 @@ def _count(batches, langs: None = None):
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 20_000, penalty: float = 8.0) -> Model:
     """Learn from rows with text and language; about ``max_rows`` of them where there are more."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = labelled.where(F.col(lang_col).isNotNull()).count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).count().limit(MOST + 1).collect()}
+    if len(sizes) > MOST:
+        raise ValueError(f"more than {MOST} languages in {lang_col}")
+    if sum(sizes.values()) > max_rows:
+        # A language without a full share takes all its rows and leaves the rest of its share to the others.
+        left, shares = max_rows, {}
+        for i, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+            take = min(n, max(1, left // (len(sizes) - i)))
+            shares[name] = math.ceil((1 << 20) * take / n)
+            left -= take
+        share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col(lang_col)]
+        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share)
     counts = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, bucket int, n long")
     t = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(t.column("lang").to_pylist()))
@@ -114,12 +134,57 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
-    """Best language of each word; texts ``first[i]:first[i+1]`` advance in step, longest first."""
+    """Best language of each word; texts ``first[i]:first[i+1]`` advance in step, longest first.
+
+    A tie goes to the language that comes first.
+    """
+    n, k = score.shape
+    if not k:
+        return np.zeros(n, dtype=np.int32)
+    first, again = _parts(score, first, penalty)
+    if len(again):
+        # The word at which a text is cut stands in both parts; its second copy is dropped from the result.
+        rows = np.sort(np.concatenate((np.arange(n), again)), kind="stable")
+        copy = np.zeros(len(rows), dtype=bool)
+        copy[1:] = rows[1:] == rows[:-1]
+        return _in_step(score[rows], first, penalty)[~copy]
+    return _in_step(score, first, penalty)
+
+
+def _parts(score: np.ndarray, first: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of texts' parts, counting the words at cuts twice, and those words."""
+    k = score.shape[1]
+    long_ = np.flatnonzero(np.diff(first) > 2 * PART)
+    if not len(long_) or k < 2:
+        return first, np.zeros(0, np.int64)
+    cuts = []
+    for d in long_.tolist():
+        a, b = int(first[d]), int(first[d + 1])
+        top = np.partition(score[a:b], k - 2, axis=1)[:, k - 2 :]
+        sure = a + np.flatnonzero(top[:, 1] - top[:, 0] > 2 * penalty + 1e-3)
+        at = a
+        while True:
+            i = int(np.searchsorted(sure, at + PART))
+            if i == len(sure) or sure[i] >= b - 1:
+                break
+            at = int(sure[i])
+            cuts.append(at)
+    again = np.array(cuts, np.int64)
+    # Part ends: every text's, and each cut's word (kept in the part before it).
+    ends = np.concatenate((first[1:], again + 1))
+    kind = np.concatenate((np.zeros(len(first) - 1, np.int64), np.ones(len(again), np.int64)))
+    order = np.lexsort((kind, ends))
+    ends, kind = ends[order], kind[order]
+    return np.concatenate(([0], ends + np.cumsum(kind) - kind)), again
+
+
+def _in_step(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     n, k = score.shape
+    kind = np.uint8 if k <= 256 else np.uint16
     count = np.diff(first)
     order = np.argsort(-count, kind="stable")
     begin, count = first[:-1][order], count[order]
-    back, own = np.zeros((n, k), dtype=np.uint8), np.arange(k, dtype=np.uint8)
+    back, own = np.zeros((n, k), dtype=kind), np.arange(k, dtype=kind)
     value = np.zeros((len(count), k), dtype=np.float32)
     steps = int(count[0]) if len(count) else 0
     live = np.searchsorted(-count, -np.arange(steps), side="left")  # texts longer than t
@@ -129,10 +194,10 @@ def viterbi(score: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
         best = v.argmax(1)
         change = (v[np.arange(m), best] - penalty)[:, None]
         stay = v >= change
-        back[at] = np.where(stay, own, best[:, None].astype(np.uint8))
+        back[at] = np.where(stay, own, best[:, None].astype(kind))
         v = np.where(stay, v, change) + score[at]
         value[:m] = v - v.max(1, keepdims=True)
-    label = np.zeros(n, dtype=np.uint8)
+    label = np.zeros(n, dtype=np.int32)
     state = value.argmax(1)
     for t in range(steps - 1, -1, -1):
         m = live[t]
@@ -148,7 +213,7 @@ def _label(batches, model: Model, spans: bool, text_at: int, kept: list[int]):
     score, allowed = model.score, np.where(model.allowed, 0, -1e6).astype(np.float32)
     with np.errstate(over="ignore"):
         for batch in batches:
-            for i, j in wh.slices(batch.column(text_at), BLOCK):
+            for i, j in wh.slices(batch.column(text_at), BLOCK * 8 // max(k, 8)):
                 text, m = batch.column(text_at).slice(i, j - i), j - i
                 gram, begin, spot, first, raw, at, data = _trigrams(text)
                 w = len(begin)
@@ -158,7 +223,7 @@ def _label(batches, model: Model, spans: bool, text_at: int, kept: list[int]):
                     each[:, x] = np.add.reduceat(score[gram, x], begin) if w else 0
                 if w and k:
                     each += allowed[_SCRIPT[data[spot[begin]]]]
-                label = viterbi(each, first, model.penalty) if k else np.zeros(w, dtype=np.uint8)
+                label = viterbi(each, first, model.penalty)
                 owner = np.repeat(np.arange(m), np.diff(first))
                 cover = np.bincount(owner * max(k, 1) + label, weights=size, minlength=m * max(k, 1)).reshape(m, max(k, 1))
                 total = cover.sum(1)

@@ -11,9 +11,11 @@ cost per symbol is a few numpy operations over all frames of a batch.  Shots end
 difference of neighbouring frames' histograms stands out from the shot so far.
 
 Defined cases: a null text is empty; the payload is at least one frame; long
-texts are many frames of one file.  Bytes that are no AVI, or frames that are
-not grey baseline JPEG, raise ValueError.  Repeated rows give equal rows;
-other columns are ignored; an empty table gives no rows.
+texts are many frames of one file.  Of bytes that are no AVI, or frames that
+are not baseline JPEG, ``clips`` gives a row with the reason.  Colour frames are
+decoded by their first component (the luma), which is what histograms need.
+Repeated rows give equal rows; other columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -143,49 +146,104 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
     return out, 1e6 / micros
 
 
-def _tables(frame: bytes):
-    """Quantiser, code tables, blocks and where the scan's data begins."""
-    quant, codes, shape, at = {}, {}, None, 2
+@dataclass
+class Layout:
+    """What a frame's head says."""
+
+    quant: np.ndarray  # of the first component
+    length: np.ndarray  # bits of each 16-bit prefix's code, table after table
+    symbol: np.ndarray
+    dc: np.ndarray  # of each block of a unit: where its DC table begins in the two above
+    ac: np.ndarray
+    part: np.ndarray  # and its component
+    rows: int  # blocks of the first component, whole units
+    cols: int
+    units: int
+    place: np.ndarray  # of the first component's blocks in the order of the scan: their place row by row
+    begin: int  # where the scan's data begins
+
+
+def _tables(frame: bytes) -> Layout:
+    quant, codes, parts, at = {}, {}, None, 2
     if frame[:2] != b"\xff\xd8":
         raise ValueError("no JPEG frame")
-    while True:
+    while at + 4 <= len(frame):
         marker, size = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
         body = frame[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xDB:
-            quant[body[0] & 15] = np.frombuffer(body[1:65], np.uint8).astype(np.int32)
+            while body:
+                if body[0] >> 4:
+                    raise ValueError("only quantisers of 8 bits are decoded")
+                quant[body[0] & 15], body = np.frombuffer(body[1:65], np.uint8).astype(np.int32), body[65:]
         elif marker == 0xC4:
-            length, symbol = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
-            code, k = 0, 17
-            for bits in range(1, 17):
-                for _ in range(body[bits]):
-                    lo = code << (16 - bits)
-                    length[lo : lo + (1 << (16 - bits))], symbol[lo : lo + (1 << (16 - bits))] = bits, body[k]
-                    code, k = code + 1, k + 1
-                code <<= 1
-            codes[body[0]] = (length, symbol)
+            while body:
+                length, symbol = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
+                code, k = 0, 17
+                for bits in range(1, 17):
+                    for _ in range(body[bits]):
+                        lo = code << (16 - bits)
+                        length[lo : lo + (1 << (16 - bits))], symbol[lo : lo + (1 << (16 - bits))] = bits, body[k]
+                        code, k = code + 1, k + 1
+                    code <<= 1
+                codes[body[0]], body = (length, symbol), body[k:]
         elif marker == 0xC0:
-            depth, h, w, parts = struct.unpack(">BHHB", body[:6])
-            if depth != 8 or parts != 1:
-                raise ValueError("only grey frames of 8 bits are decoded")
-            shape = (-(-h // 8), -(-w // 8))
+            depth, h, w, n = struct.unpack(">BHHB", body[:6])
+            if depth != 8 or n not in (1, 3):
+                raise ValueError("only frames of 8 bits, grey or of three components, are decoded")
+            # Identity, blocks across and down a unit, quantiser.
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        elif marker == 0xDD and int.from_bytes(body[:2], "big"):
+            raise ValueError("frames with restart markers are not decoded")
         elif marker == 0xDA:
-            return quant[0], codes[body[2] >> 4], codes[0x10 | body[2] & 15], shape, at
-        elif 0xC1 <= marker <= 0xCF:
+            if parts is None or body[0] != len(parts):
+                raise ValueError("only frames of one scan are decoded")
+            if len(parts) == 1:
+                parts = [(parts[0][0], 1, 1, parts[0][3])]
+            names = sorted(codes)
+            if not all((body[2 + 2 * i] >> 4) in codes and (0x10 | body[2 + 2 * i] & 15) in codes for i in range(len(parts))):
+                raise ValueError("a frame without its code tables")
+            dc, ac, part = [], [], []
+            for i, (_, x, y, _) in enumerate(parts):
+                dc += [names.index(body[2 + 2 * i] >> 4) * 65536] * (x * y)
+                ac += [names.index(0x10 | body[2 + 2 * i] & 15) * 65536] * (x * y)
+                part += [i] * (x * y)
+            x, y = parts[0][1], parts[0][2]
+            wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
+            across, down = -(-w // (8 * wide)), -(-h // (8 * high))
+            unit = np.arange(across * down)[:, None]
+            block = np.arange(x * y)[None, :]
+            place = ((unit // across * y + block // x) * across * x + unit % across * x + block % x).ravel()
+            return Layout(quant[parts[0][3]], np.concatenate([codes[c][0] for c in names]), np.concatenate([codes[c][1] for c in names]), np.array(dc), np.array(ac), np.array(part), down * y, across * x, across * down, place, at)
+        elif 0xC1 <= marker <= 0xCF and marker != 0xC8:
             raise ValueError("only baseline frames are decoded")
+    raise ValueError("a JPEG frame without a scan")
+
+
+def _head_of(frame: bytes) -> bytes:
+    """A frame's bytes up to the scan's data."""
+    at = 2
+    while at + 4 <= len(frame):
+        marker, size = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
+        at += 2 + size
+        if marker == 0xDA:
+            return frame[:at]
+    raise ValueError("a JPEG frame without a scan")
 
 
 def decode_frames(frames: list[bytes]) -> tuple[np.ndarray, dict]:
-    """DC colour of every block ``(frames, blocks)`` and ``{frame: pixels}`` of those with AC terms.
+    """DC colour of every block of the first component ``(frames, blocks)`` and ``{frame: pixels}`` of those with AC terms.
 
     All frames must have the first one's tables (their bytes up to the scan).
     """
     if not frames:
         return np.zeros((0, 0), np.uint8), {}
-    quant, dc_table, ac_table, (rows, cols), begin = _tables(frames[0])
-    blocks, head = rows * cols, frames[0][:begin]
+    lay = _tables(frames[0])
+    begin, head = lay.begin, frames[0][: lay.begin]
     if any(f[:begin] != head for f in frames):
         raise ValueError("frames of one call share their tables")
+    per = len(lay.part)
+    blocks, n = lay.units * per, len(frames)
     raw = np.frombuffer(b"".join(f[begin:-2] for f in frames), np.uint8)
     size = np.array([len(f) - begin - 2 for f in frames])
     # Byte stuffing off.
@@ -198,63 +256,77 @@ def decode_frames(frames: list[bytes]) -> tuple[np.ndarray, dict]:
     for k in range(5):
         window = (window << np.uint64(8)) | padded[k : k + len(window)]
     window = window.view(np.int64)
-    length, symbol = (np.stack((dc_table[i], ac_table[i])).ravel() for i in (0, 1))
-    n = len(frames)
     # As long as every block of all frames is a DC term and the end of block, both are read in one step.
-    bit, pred, dc = base.astype(np.int64), np.zeros(n, np.int64), np.zeros((blocks, n), dtype=np.int32)
-    both = length | symbol << 8
-    dc_code, ac_code, mask = both[:65536], both[65536:], (1 << np.arange(16)) - 1
+    bit, pred, dc = base.astype(np.int64), np.zeros((n, 3), np.int64), np.zeros((blocks, n), dtype=np.int32)
+    both, mask = lay.length | lay.symbol << 8, (1 << np.arange(17)) - 1
     at = 0
     while at < blocks:
+        i = at % per
         bits = window[bit >> 3] >> (8 - (bit & 7)) & 0xFFFFFFFF
-        entry = dc_code[bits >> 16]
+        entry = both[(bits >> 16) + lay.dc[i]]
         more = entry >> 8
         used = (entry & 31) + more
+        if more.max() > 11 or (entry & 31).min() == 0:
+            break
         most = mask[more]
         extra = bits >> (32 - used) & most
-        pred += extra - most * (extra <= most >> 1)
-        dc[at] = pred
-        entry = ac_code[(bits << used & 0xFFFFFFFF) >> 16]
+        value = extra - most * (extra <= most >> 1)
+        entry = both[((bits << used & 0xFFFFFFFF) >> 16) + lay.ac[i]]
         if not ((entry & 31) - 1 & 0xFFFF < 32 - used).all() or (entry >> 8).any():
             break
+        pred[:, lay.part[i]] += value
+        dc[at] = pred[:, lay.part[i]]
         bit += used + (entry & 31)
+        if at % 64 == 0 and (bit > base + size * 8).any():
+            raise ValueError("a frame ends before its blocks")
         at += 1
     dc = np.ascontiguousarray(dc.T)
     block, k = np.full(n, at), np.zeros(n, np.int64)
-    if at < blocks:
-        pred = dc[:, at - 1].astype(np.int64) if at else np.zeros(n, np.int64)
     ac: list[tuple] = []
     live = np.flatnonzero(block < blocks)
+    last = base + size * 8
     while len(live):
         b = bit[live]
+        if (b >= last[live]).any():
+            raise ValueError("a frame ends before its blocks")
+        i = block[live] % per
         bits = window[b >> 3] >> (8 - (b & 7)) & 0xFFFFFFFF  # 32 bits from here on
         is_dc = k[live] == 0
-        entry = (bits >> 16) + np.where(is_dc, 0, 65536)
-        used, sym = length[entry], symbol[entry]
+        entry = (bits >> 16) + np.where(is_dc, lay.dc[i], lay.ac[i])
+        used, sym = lay.length[entry], lay.symbol[entry]
         if not used.all():
             raise ValueError("a code outside the tables")
         more = sym & 15
         extra = (bits >> (32 - used - more)) & ((1 << more) - 1)
         value = np.where((more > 0) & (extra < (1 << np.maximum(more - 1, 0))), extra - (1 << more) + 1, extra)
         bit[live] = b + used + more
-        d = live[is_dc]
-        pred[d] += value[is_dc]
-        dc[d, block[d]] = pred[d]
+        d, part = live[is_dc], lay.part[i[is_dc]]
+        pred[d, part] += value[is_dc]
+        dc[d, block[d]] = pred[d, part]
         k[d] = 1
         if not is_dc.all():
-            a, s, v = live[~is_dc], sym[~is_dc], value[~is_dc]
+            a, s, v, part = live[~is_dc], sym[~is_dc], value[~is_dc], lay.part[i[~is_dc]]
             end, real = s == 0, (s & 15) > 0
             k[a] += s >> 4
-            if real.any():
-                ac.append((a[real], block[a[real]], k[a[real]], v[real]))
+            if (k[a[real]] > 63).any():
+                raise ValueError("a block of more than 64 terms")
+            kept = real & (part == 0)
+            if kept.any():
+                ac.append((a[kept], block[a[kept]], k[a[kept]], v[kept]))
             k[a] = np.where(end, 64, k[a] + 1)
             done = a[k[a] >= 64]
             block[done] += 1
             k[done] = 0
             live = live[block[live] < blocks]
+    # The first component's blocks, row by row.
+    own = np.flatnonzero(lay.part[np.arange(blocks) % per] == 0)
+    where = np.zeros(blocks, np.int64)
+    where[own] = lay.place
+    luma = np.empty((n, len(own)), np.int32)
+    luma[:, lay.place] = dc[:, own]
     # A block of a DC term alone has the constant colour 128 + DC / 8.
-    colour = np.clip(128 + (dc * quant[0] + 4) // 8, 0, 255).astype(np.uint8)
-    return colour, _pixels(dc, ac, quant, rows, cols)
+    colour = np.clip(128 + (luma * lay.quant[0] + 4) // 8, 0, 255).astype(np.uint8)
+    return colour, _pixels(luma, [(f, where[b], k, v) for f, b, k, v in ac], lay.quant, lay.rows, lay.cols)
 
 
 def _pixels(dc, ac, quant, rows, cols) -> dict:
@@ -305,23 +377,38 @@ def clips_of(media: bytes) -> list[dict]:
     frames, fps = read_avi(media)
     if not frames:
         return []
-    cuts = shots(histograms(*decode_frames(frames)))
+    hist, at = [], 0
+    while at < len(frames):
+        # Frames that share their tables are decoded together, so many bytes at a time.
+        head = _head_of(frames[at])
+        to, held = at + 1, len(frames[at])
+        while to < len(frames) and held < BLOCK and frames[to].startswith(head) and _head_of(frames[to]) == head:
+            held += len(frames[to])
+            to += 1
+        hist.append(histograms(*decode_frames(frames[at:to])))
+        at = to
+    cuts = shots(np.concatenate(hist))
     return [{"clip": i, "first_frame": a, "frames": b - a, "start_ms": round(1000 * a / fps), "end_ms": round(1000 * b / fps)} for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(frames)], strict=True))]
 
 
 def _clips(batches):
-    kinds = {"clip": pa.int32(), "first_frame": pa.int64(), "frames": pa.int64(), "start_ms": pa.int64(), "end_ms": pa.int64()}
+    kinds = {"clip": pa.int32(), "first_frame": pa.int64(), "frames": pa.int64(), "start_ms": pa.int64(), "end_ms": pa.int64(), "error": pa.string()}
     for batch in batches:
         for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows = clips_of(data.as_py()) if data.is_valid else []
+            try:
+                rows = clips_of(data.as_py()) if data.is_valid else []
+            except (ValueError, KeyError, IndexError, struct.error) as reason:  # bytes that are no such file
+                rows = [{"error": str(reason)}]
+            rows = [dict.fromkeys(kinds) | r for r in rows]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in kinds.items())], ["id", *kinds])
 
 
 def clips(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """Timed clip rows of a column of AVI files; a null file has none."""
+    """Timed clip rows of a column of AVI files; a null file has none, and a file that cannot be decoded
+    has one row that gives the reason in ``error`` (null else)."""
     rows = media.select(F.col(id_col).cast("long"), F.col(media_col))
-    return rows.mapInArrow(_clips, "id long, clip int, first_frame long, frames long, start_ms long, end_ms long")
+    return rows.mapInArrow(_clips, "id long, clip int, first_frame long, frames long, start_ms long, end_ms long, error string")
 
 
 def payload_frames(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -337,14 +424,21 @@ def payload_frames(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _round_trip(batches):
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    step = BLOCK // CELL
     for batch in batches:
         for i, j in wh.slices(batch.column(1), BLOCK):
             samples, first, size = payload_frames(batch.column(1).slice(i, j - i))
-            jpegs = encode_frames(samples)
+            # A long text's frames are coded, and decoded, so many at a time.
+            jpegs = [x for a in range(0, len(samples), step) for x in encode_frames(samples[a : a + step])]
+            del samples
             files = [write_avi(jpegs[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-            stored = [read_avi(f)[0] for f in files]
-            colour, pixels = decode_frames([x for f in stored for x in f])
-            hist = histograms(colour, pixels)
+            del jpegs
+            stored = [x for f in files for x in read_avi(f)[0]]
+            colour, hist = np.empty((len(stored), CELL), np.uint8), np.empty((len(stored), 16))
+            for a in range(0, len(stored), step):
+                some, pixels = decode_frames(stored[a : a + step])
+                colour[a : a + step], hist[a : a + step] = some, histograms(some, pixels)
+            del stored
             rows = {n: [] for n in names[1:]}
             for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                 payload = colour[a:b].tobytes()

@@ -12,7 +12,8 @@ one pass; a run of texts is taken longest first.
 Tokens are found per distinct word: plain Latin texts are cut into words by
 numpy exactly as the tokenizer's own splitting pattern cuts them, new words are
 encoded once per worker, and texts with any other character go to the
-tokenizer whole.
+tokenizer, a long one in parts cut between words (a run of 100,000 characters
+and more without a blank stays whole).
 
 Defined cases: a null or empty text is one piece holding the id 0 alone;
 repeated rows are packed each (equal ids are told apart by sequence and offset);
@@ -21,6 +22,7 @@ an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import partial
 
@@ -38,6 +40,9 @@ BLOCK = 1_000_000
 SLOTS, POOL = 1 << 20, 1 << 23
 #: Anything but plain Latin letters, ASCII signs and blanks, or a special token's beginning.
 _OTHER = "[^\\t\\n\\r -~À-ÖØ-öø-įı-ſ]|<\\|"
+#: Characters of a part, about, of a text that goes to the tokenizer; where it may be cut.
+PART = 100_000
+_BLANK = re.compile(r"(?<=[!-~])[ \n](?=[!-~])")
 _KIND = np.full(256, 3, dtype=np.uint8)
 _KIND[wh.SPACE] = 0
 _KIND[97:123] = 1
@@ -74,6 +79,17 @@ class Words:
             ids, end = np.concatenate(each), np.cumsum([len(x) for x in each])
         return ids, end
 
+    def parts(self, text: str) -> np.ndarray:
+        """Ids of a text of any characters; a long one is cut at blanks between two plain signs, where no rule of the
+        tokenizer (composition, its white space, its words, special tokens) looks across."""
+        out, at = [np.zeros(0, np.uint32)], 0
+        while at < len(text):
+            m = _BLANK.search(text, at + PART) if len(text) - at > PART else None
+            end = m.end() if m else len(text)
+            out.append(np.array(self.tokenizer.encode(text[at:end], add_special_tokens=False).ids, dtype=np.uint32))
+            at = end
+        return np.concatenate(out)
+
     def find(self, h: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray]:
         """Place in the pool and number of ids of every word; ``spell`` gives the words at positions."""
         if self.held > POOL:
@@ -142,7 +158,7 @@ def encode(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
     begin, size = words.find(h, spell) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     size = size.astype(np.int64)
     per_text = np.add.reduceat(np.r_[size, 0], np.minimum(w.first[:-1], len(size))) * (np.diff(w.first) > 0)
-    whole = {int(i): np.array(words.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, dtype=np.uint32) for i in np.flatnonzero(other)}
+    whole = {int(i): words.parts(texts[int(i)].as_py()) for i in np.flatnonzero(other)}
     for i, ids in whole.items():
         per_text[i] = len(ids)
     offsets = np.concatenate(([0], np.cumsum(per_text + 1)))
