@@ -90,10 +90,11 @@ BROADCAST_BYTES = 64_000_000
 
 
 def small_or_shuffled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder, with a broadcast hint if its strings, binaries and
+    """``df`` written to the shared folder, with a broadcast hint if its strings, binaries, lists and
     numbers come to ``BROADCAST_BYTES`` at most; a larger one is joined by shuffle."""
     kept, _ = saved(df, name)
     wide = [F.sum(F.octet_length(F.coalesce(F.col(c), F.lit(b"" if t == "binary" else "")))) for c, t in kept.dtypes if t in ("string", "binary")]
+    wide += [F.sum(F.greatest(F.size(c), F.lit(0)).cast("long") * 8) for c, t in kept.dtypes if t == "array<bigint>"]
     rows, *sizes = kept.agg(F.count("*"), *wide).first()
     return F.broadcast(kept) if rows * 32 + sum(x or 0 for x in sizes) <= BROADCAST_BYTES else kept
 
