@@ -1,5 +1,6 @@
 """Packing, media, language, quality, HTML, URL filter and WARC."""
 
+import gzip
 import hashlib
 import zlib
 
@@ -176,33 +177,78 @@ def test_urls(spark):
 
 def test_warc(spark, tmp_path):
     long_, other = "é" * 60 + "\r\n\r\nWARC/1.1\r\n", "z" * 200
-    rows = [(5, "http://a/", long_), (3, None, long_), (9, "http://a\n/", long_), (1, "u", "short"), (2, "u", "short"), (7, "u", None), (8, "u", ""), (4, "u", other), (None, "u", other)]
+    rows = [(5, "http://a/", long_), (3, None, long_), (9, "http://a\n/", long_), (1, "u", "short"), (2, "u", "short"), (7, "u", None), (8, "u", ""), (4, "u", other), (None, "u", other), (4, "u", other)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     path = f"file://{tmp_path}/w"
     warc.write(warc.plan_records(pages), path)
-    got = {r.page_id: r for r in warc.read(spark, path).collect()}
-    assert len(got) == 9
-    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {5: ("revisit", 3), 3: ("response", None), 9: ("revisit", 3), **{k: ("response", None) for k in (1, 2, 7, 8, 4, None)}}
+    got = {(r.page, i) if r.page == 4 else r.page: r for i, r in enumerate(warc.read(spark, path).withColumn("page", warc.page_of("record_id")).collect())}
+    assert len(got) == 10 and len({r.record_id for r in got.values()}) == 9
+    kinds = {5: ("revisit", "urn:page:3"), 3: ("response", None), 9: ("revisit", "urn:page:3"), **{k: ("response", None) for k in (1, 2, 7, 8, None)}}
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items() if not isinstance(k, tuple)} == kinds
     assert bytes(got[3].payload).decode() == long_ and got[3].url is None and got[5].payload is None and got[5].payload_bytes == len(long_.encode())
     some = warc.read(spark, path, payload=False).where("record_type = 'revisit'")
     assert some.count() == 2 and "payload" not in some.columns
     digest = hashlib.sha256(other.encode()).hexdigest()
-    assert [r.page_id for r in warc.read(spark, path).where(F.col("payload_digest") == digest).collect()].count(4) == 1
-    done = {r.page_id: r for r in warc.round_trip(pages).collect()}
-    assert all(r.payload_digest == hashlib.sha256((h or "").encode()).hexdigest() for p, _, h in rows for r in [done[p]])
+    assert warc.read(spark, path).where((F.col("payload_digest") == digest) & (F.col("record_id") == "urn:page:4")).count() == 2
+    done = warc.round_trip(pages).collect()
+    assert sorted((r.page_id or 0, r.payload_digest) for r in done) == sorted((p or 0, hashlib.sha256((h or "").encode()).hexdigest()) for p, _, h in rows)
+    assert warc.round_trip(pages.limit(0)).collect() == []
+
+
+def record(body: bytes, *lines: str) -> bytes:
+    return "\r\n".join(["WARC/1.0", *lines, f"content-length:{len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+
+
+def foreign() -> list[bytes]:
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    return [
+        record(b"software: x\r\n\r\nmore", "WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"),
+        record(http + b"hello\r\n\r\nWARC/1.0\r\n", "WARC-Type:response", "WARC-Record-ID:<urn:uuid:2>", "WARC-Target-URI: http://b/", "WARC-Date: 2020-01-02T00:00:00Z", "Content-Type: application/http;\r\n msgtype=response", "WARC-Payload-Digest: sha1:ABC"),
+        record(b"plain payload", "WARC-Type: resource", "WARC-Record-ID: <urn:uuid:3>", "WARC-Target-URI: http://c/", "WARC-Date: 2021-01-02T00:00:00Z", "Content-Type: text/plain"),
+        record(b"no head at all", "WARC-Type: response", "WARC-Record-ID: <urn:uuid:4>", "Content-Type: application/http"),
+        record(b"", "WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:5>"),
+    ]
+
+
+@pytest.mark.parametrize("kind", ["plain", "split", "members", "whole"])
+def test_foreign_archives(spark, tmp_path, kind):
+    parts = foreign() * 7
+    name, data = {"plain": ("a.warc", b"".join(parts)), "split": ("a.warc", b"".join(parts)), "members": ("a.warc.gz", b"".join(map(gzip.compress, parts))), "whole": ("a.warc.gz", gzip.compress(b"".join(parts)))}[kind]
+    (tmp_path / name).write_bytes(data)
+    rows = warc.read(spark, str(tmp_path), splitBytes=300 if kind == "split" else 10**9, partitionBytes=300).collect()
+    want = {"urn:uuid:1": b"software: x\r\n\r\nmore", "urn:uuid:2": b"hello\r\n\r\nWARC/1.0\r\n", "urn:uuid:3": b"plain payload", "urn:uuid:4": b"no head at all", "urn:uuid:5": b""}
+    assert sorted((r.record_id, bytes(r.payload)) for r in rows) == sorted((*want.items(),) * 7)
+    second = next(r for r in rows if r.record_id == "urn:uuid:2")
+    assert (second.payload_digest, second.url, second.headers["content-type"], second.payload_bytes) == ("ABC", "http://b/", "application/http; msgtype=response", 19)
+    some = warc.read(spark, str(tmp_path)).where("date >= '2020-06-01' AND url = 'http://c/'")
+    assert some.count() == 7 and warc.read(spark, str(tmp_path)).where("record_id IN ('urn:uuid:4', 'x')").count() == 7
 
 
 def test_warc_reader_skips_unwanted_payloads(tmp_path):
-    from pyspark.sql.datasource import EqualTo
+    from pyspark.sql.datasource import EqualTo, GreaterThan, IsNull
     from pyspark.sql.types import StructType
 
     file = tmp_path / "a.warc"
-    record = lambda kind, body: f"WARC/1.1\r\nWARC-Type: {kind}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
-    file.write_bytes(record("warcinfo", b"x" * 3_000_000) + record("response", b"HTTP/1.1 200 OK\r\n\r\nhello"))
+    file.write_bytes(record(b"x" * 3_000_000, "WARC-Type: warcinfo") + record(b"HTTP/1.1 200 OK\r\n\r\nhello", "WARC-Type: response", "Content-Type: application/http", "WARC-Date: 2020"))
     reader = warc.WarcReader({"path": str(file)}, StructType.fromDDL(warc.SCHEMA))
-    assert list(reader.pushFilters([EqualTo(("record_type",), "response"), EqualTo(("url",), "x")])) == [EqualTo(("url",), "x")]
-    rows = [r for b in reader.read(reader.partitions()[0]) for r in b.to_pylist()]
-    assert [r["payload"] for r in rows] == [b"hello"]
+    assert list(reader.pushFilters([EqualTo(("record_type",), "response"), GreaterThan(("date",), "2019"), IsNull(("url",))])) == [IsNull(("url",))]
+    got, read = [], []
+
+    class Counting(warc.Plain):
+        def at(self, start, n):
+            read.append(n)
+            return super().at(start, n)
+
+    with open(file, "rb") as f:
+        f.size = lambda: 0
+        data = Counting.__new__(Counting)
+        data.f, data.size, data.base, data.held = f, file.stat().st_size, 0, b""
+        got = [r["payload"] for r, _ in reader._records(data, 0, data.size, "a")]
+    assert got == [b"hello"] and sum(read) < 20_000
+    for bad in (b"no archive", b"WARC/1.0\r\nWARC-Type: x\r\n\r\n", record(b"abc", "WARC-Type: response")[:-6]):
+        file.write_bytes(bad)
+        with pytest.raises(ValueError):
+            list(reader.read(reader.partitions()[0])) or reader.filters.clear() or list(warc.WarcReader({"path": str(file)}, StructType.fromDDL(warc.SCHEMA)).read(reader.partitions()[0]))
 
 
 def test_extra_columns_with_clashing_names(spark):
