@@ -17,10 +17,13 @@ exactly: sum of minimum over sum of maximum of the shingles' weights in window
 and item, a shingle's weight being 1 over the number of items of the whole
 benchmark that hold it.
 
-The items go to the tasks; they are split into blocks of at most ``ITEMS``
-items, and the documents are read once for each block.  Shingles' holders are
-counted over all items before; every block is sent the weights of all shingles
-that two items or more hold (16 bytes each), so the split changes no result.
+The items go to the tasks, equal texts once (hits are joined back with the ids
+that share the text); they are split into blocks of at most about ``ITEMS`` texts and
+``ITEM_BYTES`` bytes, and the documents are read once for each block.  Shingles'
+holders are counted over all items before; every block is sent the weights of all
+shingles that two items or more hold (16 bytes each), so the split changes no result.
+
+Texts are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts and items without words match nothing;
 items shorter than a shingle are one shingle of all their words; repeated
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 from . import wordhash as wh
 
 BLOCK = 2_000_000
-ITEMS = 20_000
+ITEMS, ITEM_BYTES = 20_000, 16_000_000
 PAIRS = 1_000_000
 RADIUS = 19
 WIDTHS = (13, 13, 13, 13, 12)
@@ -307,16 +310,19 @@ def weights(items: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 5, least: float = 0.75) -> DataFrame:
     """``(doc_id, item_id, similarity, start_word, n_words)``: the best window of every document and item at ``least`` or more."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("text is not null")
-    blocks = max(1, math.ceil(items.count() / (ITEMS / 2)))
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("text is not null").withColumn("key", F.xxhash64("text"))
+    texts = items.groupBy("key").agg(F.first("text").alias("text"))
+    number, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # Dealt by a hash, so blocks are planned for half.
+    blocks = max(1, math.ceil(number / (ITEMS / 2)), math.ceil(size / (ITEM_BYTES / 2)))
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     shared = weights(items, k)
     out = None
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).toArrow()
+        part = texts.where(F.pmod(F.hash("key"), F.lit(blocks)) == b).toArrow()
         with np.errstate(over="ignore"):
-            index = build(part.column("id").to_pylist(), part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string()), k, shared, least)
-        index.hit = {a: dict(x) for a, x in index.hit.items()}
+            index = build(part.column("key").to_pylist(), part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string()), k, shared, least)
         found = rows.mapInArrow(partial(_search, index=index, k=k, least=least), "doc_id long, item_id long, similarity double, start_word long, n_words long")
         out = found if out is None else out.union(found)
-    return out
+    names = items.select("id", "key")
+    return out.join(names, out.item_id == names.key).select("doc_id", F.col("id").alias("item_id"), "similarity", "start_word", "n_words")
