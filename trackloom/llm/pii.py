@@ -26,6 +26,7 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -100,11 +101,12 @@ def _core(token: str) -> tuple[int, str]:
 
 
 def _shape(token: str) -> str:
-    """A token's outline: runs of letters, digits (with their number) and signs."""
+    """A token's outline: runs of letters, digits (with their number) and signs; a long one by its hash."""
     out = []
     for run in re.findall(r"[0-9]+|[^\W0-9_]+|[\W_]", token):
         out.append(f"9{min(len(run), 20)}" if run[0].isdigit() else "a" if run[0].isalpha() else run[0])
-    return "".join(out[:12])
+    shape = "".join(out)
+    return shape if len(shape) <= 64 else hashlib.md5(shape.encode()).hexdigest()
 
 
 class Graph:
@@ -195,7 +197,7 @@ def _cases(batches):
                     to[a][g.label[b]] += 1
                     to[b][g.label[a]] += 1
             for i, shape in enumerate(g.shape):
-                counts[shape, ",".join(map(str, near[i])), ",".join(str(min(x, 3)) for x in far[i]), g.label[i]] += 1
+                counts[shape, ",".join(map(str, near[i])), ",".join(map(str, far[i])), g.label[i]] += 1
     rows = list(counts.items())
     yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))] + [pa.array([v for _, v in rows], pa.int64())], ["shape", "near", "far", "label", "n"])
 
