@@ -6,9 +6,10 @@ non-ASCII), digits (all alike), or other signs.  Features are hashed words and
 word pairs; a feature's value is 1 + log(count), scaled to unit length per
 text.  Scores are sparse dot products through a sigmoid.
 
-Training uses at most about ``max_rows`` labelled rows, chosen by a hash of the
-id; their features (some kB a row) are brought to the driver and visited in
-the order of that hash, ``epochs`` times.
+Training uses at most about ``max_rows`` labelled rows of at most about
+``max_bytes`` of text in all, chosen by a hash of the
+id; their features (at most 12 bytes a word or word pair) are brought to the
+driver and visited in the order of that hash, ``epochs`` times.
 
 Defined cases: null and empty texts have no features and get the score of the
 intercept alone.  Rows with a null label are not learned from; without labels
@@ -107,13 +108,14 @@ def ftrl(rows, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: floa
     return Model(w[:-1].astype(np.float32), float(-z[-1] / ((beta + np.sqrt(n[-1])) / alpha)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4_000, epochs: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 4_000, max_bytes: int = 32_000_000, epochs: int = 4) -> Model:
     """Learn from texts that have a label (0 or 1); ids with unlike labels count once per label."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
-    n = known.count()
-    if n > max_rows:
-        known = known.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    n, size = text.select("id", F.octet_length("text").cast("long").alias("size")).join(known, "id").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    share = min(max_rows / max(n, 1), max_bytes / max(size, 1))
+    if share < 1:
+        known = known.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < int((1 << 20) * share))
     picked = text.join(known, "id").select(F.xxhash64("id").alias("turn"), "label", "text")
     got = picked.mapInArrow(_featurize, "turn long, label int, bucket binary, value binary").toArrow().sort_by([("turn", "ascending"), ("label", "ascending")])
     rows = [(y, np.frombuffer(a, np.int32), np.frombuffer(b, np.float32).astype(float)) for y, a, b in zip(got.column("label").to_pylist(), got.column("bucket").to_pylist(), got.column("value").to_pylist(), strict=True)]
