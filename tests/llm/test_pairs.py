@@ -21,6 +21,11 @@ def shingles(text, k=5):
     return [tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
 
 
+def brute_links(rows):
+    sets = [(d, frozenset(shingles(t))) for d, t in rows]
+    return {d: sum(100 * len(a & b) >= 75 * len(a | b) for j, (_, b) in enumerate(sets) if j != i) if a else 0 for i, (d, a) in enumerate(sets)}
+
+
 def brute_components(rows):
     sets = {d: frozenset(shingles(t)) for d, t in rows}
     parent = {d: d for d in sets}
@@ -54,22 +59,64 @@ def test_components_edge_cases(spark):
     assert got == brute_components([r[:2] for r in rows])
 
 
-@pytest.mark.parametrize(("cell", "queries", "fragment"), [(50, 3, 100), (10_000, 4, 500)])
-def test_large_groups_are_cut_without_loss(spark, monkeypatch, cell, queries, fragment):
-    monkeypatch.setattr(jaccard_join, "CELL", cell)
-    monkeypatch.setattr(jaccard_join, "QUERIES", queries)
-    monkeypatch.setattr(jaccard_join, "FRAGMENT", fragment)
-    rng = np.random.default_rng(0)
+def near_copies(groups, each, words_, seed=0):
+    rng = np.random.default_rng(seed)
     rows = []
-    for g in range(3):
-        base = base_text(80, 10 + g).split()
-        for _ in range(25):
-            w = list(base)
-            for i in rng.integers(0, 80, rng.integers(0, 4)):
+    for g in range(groups):
+        base = base_text(words_, 10 + g).split()
+        for _ in range(each):
+            w = list(base[: words_ - rng.integers(0, words_ // 3)])
+            for i in rng.integers(0, len(w), rng.integers(0, 4)):
                 w[i] = f"x{rng.integers(0, 10**6)}"
             rows.append((len(rows), " ".join(w), 0, "k"))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == brute_components([r[:2] for r in rows])
+    return rows
+
+
+def result(df):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in df}, {r.doc_id: r.n_links for r in df}
+
+
+def test_links_by_brute_force(spark):
+    rows = near_copies(6, 40, 80)
+    rows += [(len(rows) + i, rows[3 * i][1], 0, "k") for i in range(30)]
+    got, links = result(jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == brute_components([r[:2] for r in rows]) and links == brute_links([r[:2] for r in rows])
+
+
+@pytest.mark.parametrize(("cell", "members", "fragment"), [(400, 8, 100), (10_000, 16, 500)])
+def test_large_groups_are_cut_without_loss(spark, monkeypatch, cell, members, fragment):
+    for name, value in {"CELL": cell, "MEMBERS": members, "FRAGMENT": fragment, "QUERIES": 3, "STEP": 50}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = near_copies(3, 25, 80)
+    got, links = result(jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == brute_components([r[:2] for r in rows]) and links == brute_links([r[:2] for r in rows])
+
+
+def test_a_group_of_many_sets(spark):
+    """20,000 unlike texts around one: each differs from it in its last words, so all link with all."""
+    base = base_text(40, 4)
+    rows = spark.range(20_000).selectExpr("id AS doc_id", f"concat('{base}', ' v', id, ' u', id) AS text")
+    got = jaccard_join.jaccard_components(rows).groupBy("n_shingles", "component_id", "n_links").count().collect()
+    assert [tuple(r) for r in got] == [(38, 0, 19_999, 20_000)]
+
+
+def test_hot_shingles_are_found_from_all_texts(spark):
+    """A passage in 0.3 % of 30,000 texts, in no block more than a few times, and one in two texts."""
+    rows = [" ".join(f"w{x}" for x in r) for r in np.random.default_rng(3).integers(0, 10**6, (30_000, 12))]
+    for i in range(0, 30_000, 333):
+        rows[i] += " the passage of five words"
+    with np.errstate(over="ignore"):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], ["doc_id", "text"])
+        found = [(r["hot"], r["texts"]) for b in jaccard_join._scan([batch], 5) for r in b.to_pylist() if r["hot"] is not None]
+        values = jaccard_join._sets(pa.array(["the passage of five words"]), 5)[0]
+    assert dict(found).get(int(values.view(np.int64)[0]), 0) >= 30_000 * jaccard_join.HOT_SHARE and len(found) < 50
+
+
+def test_a_text_without_id_links_others(spark):
+    w = base_text(50, 9).split()
+    rows = [(7, " ".join(w), 0, "k"), (None, " ".join([*w, *"abcdefgh"]), 0, "k"), (5, " ".join([*w, *"abcdefghijklmnop"]), 0, "k")]
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {7: (5, 1), None: (5, 2), 5: (5, 1)}
 
 
 def test_hot_shingles(spark):
@@ -91,7 +138,7 @@ def test_no_rows_null_ids_and_repeated_rows(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], DOCS)).collect() == []
     rows = [(None, "a b c d e f", 1, "x"), (3, "a b c d e f", 1, "x"), (3, "a b c d e f", 1, "x")]
     got = sorted((tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()), key=str)
-    assert got == [(3, 2, 3), (3, 2, 3), (None, 2, 3)]
+    assert got == [(3, 2, 3, 2), (3, 2, 3, 2), (None, 2, 3, 2)]
 
 
 def test_graph_components(spark):

@@ -9,19 +9,25 @@ connected component of every document.
 2.  The global shingle order is cut into fragments (ranges of the hash).  A
     second scan deals every set's shingles to the fragments, packed in one row
     per block and fragment.  A fragment counts in how many different sets each
-    of its shingles stands and passes on those in two sets or more.  Shingles
-    frequent in any one block of texts are frequent everywhere it matters: they
-    are set aside by a heavy-hitter pass over all texts, count as shared
-    without being counted, and come last in the order.  So no fragment gets a
-    hot shingle's whole list.
+    of its shingles stands and passes on those in two sets or more.  Hot
+    shingles are set aside: the scan counts, in every partition, the shingles that
+    stand twice in some block of texts, Spark sums the counts of all partitions,
+    and those in ``HOT_SHARE`` of all texts or more count as shared without being
+    counted and come last in the order.  So no fragment gets a hot shingle's
+    whole list.
 3.  A linked set shares at least 75 % of its shingles.  Summing the fragments'
     partial counts per set drops all others, without loss.
 4.  Sets that share a shingle of their prefixes (rarest first: any linked pair
-    does) are chained to candidate groups.  Each group is a cell; large groups
-    are cut by query block, and vertically by shingle range.  A cell counts the
-    partial overlaps of pairs through an inverted index; partial overlaps are
-    summed per pair, and pairs at the threshold link.  A cell hands on a
-    spanning forest of its links, never all pairs of a group.
+    does) are chained to candidate groups.  A group is cut into blocks of
+    bounded size by set size and hash; a cell holds two blocks (or one, or many
+    small groups), and blocks whose sizes rule a link out never meet.  A cell
+    cuts the shingle order into ``RANGES`` fragments, counts every pair's partial
+    overlap in each fragment by itself through an inverted index, sums the
+    partial overlaps per pair, and only then applies the threshold.  It hands on
+    each set's number of linked documents and a spanning forest of the links,
+    never the pairs.
+
+``n_links`` is the number of other rows that a row is linked with, copies included.
 
 Defined cases: null or empty texts and texts without words have size 0, link
 with nothing and are their own component.  Equal texts (also under one id
@@ -42,16 +48,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import components, on_group, saved
+from .common import components, on_group, remove, saved
 
 #: Bytes of text handled at once.
 BLOCK = 4_000_000
-#: Shingles of one fragment, and of one cell, at most (about; 8 bytes each).
-FRAGMENT, CELL = 5_000_000, 2_000_000
-#: Sets of a candidate group that one cell takes as queries.
-QUERIES = 512
-#: A shingle is hot in a block when it stands in so many of its texts.
-HOT_SHARE, HOT_LEAST = 0.005, 24
+#: Shingles of one fragment, and of one block of a candidate group, at most (about; 8 bytes each), and sets of such a block.
+FRAGMENT, CELL, MEMBERS = 5_000_000, 1_000_000, 1024
+#: Fragments of a cell; queries and additions handled at once.
+RANGES, QUERIES, STEP = 8, 256, 2_000_000
+#: A shingle is dense in a cell from one in so many sets on.
+DENSE = 32
+#: A shingle is hot from this share of all texts on, and this many; partitions tell their counts from LOCAL on.
+HOT_SHARE, HOT_LEAST, LOCAL = 0.0005, 24, 6
+#: Entries of a partition's table of counts at which its rare ones are dropped.
+TABLE = 2_000_000
 _HOT_DF = np.uint32(2**31)
 _OVER = {"over": "ignore"}
 
@@ -69,25 +79,37 @@ def _sets(column: pa.Array, k: int):
     return values, at, n, sums[0], sums[1]
 
 
+def _merged(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    v, c = np.concatenate(values), np.concatenate(counts)
+    order = np.argsort(v, kind="stable")
+    v, c = v[order], c[order]
+    head = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, int)
+    return v[head], np.add.reduceat(c, head) if len(v) else c
+
+
 def _scan(batches, k: int):
-    """Rows of kind 0: a document's id, set size and digest; of kind 1: a shingle hot in its block."""
+    """Rows of kind 0: a document's id, set size and digest; of kind 1: a shingle and in how many texts it was counted."""
     names = ["doc_id", "n", "k1", "k2", "hot", "texts"]
+    held, counts, least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 1
     with np.errstate(**_OVER):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for i, j in wh.slices(texts, BLOCK):
                 values, _, n, k1, k2 = _sets(texts.slice(i, j - i), k)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(k1), pa.array(k2), pa.nulls(j - i, pa.int64()), pa.nulls(j - i, pa.int64())], names)
-                least = max(HOT_LEAST, math.ceil(HOT_SHARE * (j - i)))
-                if j - i < least:
-                    continue
                 values.sort()
-                # A run of equal values at least so long begins where the value so far on is the same.
-                far = np.flatnonzero(values[least - 1 :] == values[: len(values) - least + 1])
-                hot = np.unique(values[far])
-                count = np.searchsorted(values, hot, "right") - np.searchsorted(values, hot, "left")
-                empty = pa.nulls(len(hot), pa.int64())
-                yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(hot.view(np.int64)), pa.array(count)], names)
+                twice = np.unique(values[1:][values[1:] == values[:-1]])
+                held.append(twice)
+                counts.append(np.searchsorted(values, twice, "right") - np.searchsorted(values, twice, "left"))
+                if sum(map(len, held)) > TABLE:
+                    v, c = _merged(held, counts)
+                    while np.count_nonzero(c > least) > TABLE // 2:
+                        least += 1
+                    held, counts = [v[c > least]], [c[c > least]]
+        v, c = _merged(held, counts)
+        v, c = v[c >= LOCAL], c[c >= LOCAL]
+        empty = pa.nulls(len(v), pa.int64())
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(v.view(np.int64)), pa.array(c)], names)
 
 
 def _bytes(parts: list[np.ndarray]) -> pa.Array:
@@ -216,41 +238,67 @@ def _postings(batches):
         yield pa.RecordBatch.from_arrays([pa.array(_array(batch.column("prefix"), np.int64)), pa.array(np.repeat(batch.column("key").to_numpy(), size))], ["shingle", "key"])
 
 
-def _vertical(batches):
-    """Cut the sets of large groups by shingle range."""
-    for batch in batches:
-        cols = batch.to_pydict()
-        out = []
-        for f, cuts, raw in zip(cols["f"], cols["cuts"], cols["shingles"], strict=True):
-            v = np.frombuffer(raw, np.uint64)
-            if cuts > 1:
-                v = v[((v >> np.uint64(32)) * np.uint64(cuts) >> np.uint64(32)) == np.uint64(f)]
-            out.append(v.tobytes())
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("cell", "cuts", "blocks", "b", "key", "n")), pa.array(out, pa.binary())], ["cell", "cuts", "blocks", "b", "key", "n", "shingles"])
+def _partial(total: np.ndarray, owner: np.ndarray, post: np.ndarray, head: np.ndarray, each: np.ndarray, ask: np.ndarray, number: np.ndarray) -> None:
+    """Add one fragment's overlaps: entries ``owner`` (sets) by shingle ``post``, whose list begins at ``head`` and has ``each`` entries.
 
+    Shingles that stand in a good part of the cell's sets are counted as a product of incidence matrices, others by their lists.
+    """
+    width = total.shape[1]
+    dense = each[post] * DENSE >= max(width, 2 * DENSE)
+    at, code = np.unique(post[dense], return_inverse=True)
+    sets = owner[dense]
+    for c in range(0, len(at), 1024):
+        some = (code >= c) & (code < c + 1024)
+        m = np.zeros((min(1024, len(at) - c), width), np.float32)
+        m[code[some] - c, sets[some]] = 1
+        total += (m[:, ask].T @ m).astype(np.int32)
+    # Entries of queries whose shingle stands in another set too, by query.
+    e = np.flatnonzero((number[owner] >= 0) & (each[post] > 1) & ~dense)
+    e = e[np.argsort(number[owner[e]], kind="stable")]
+    asks = number[owner[e]]
+    for q in range(0, len(ask), QUERIES):
+        rows = total[q : q + QUERIES].ravel()
+        some = e[np.searchsorted(asks, q) : np.searchsorted(asks, q + QUERIES)]
+        size = each[post[some]]
+        ends = np.cumsum(size)
+        i = 0
+        while i < len(some):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP, "right")))
+            t, s = some[i:j], size[i:j]
+            entry = np.repeat(head[post[t]] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))
+            pair = np.repeat((number[owner[t]] - q) * width, s) + owner[entry]
+            if len(pair) * 4 > len(rows):
+                rows += np.bincount(pair, minlength=len(rows)).astype(np.int32)
+            else:
+                np.add.at(rows, pair, 1)
+            i = j
 
-def _overlaps(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Partial overlaps of a cell's pairs.
 
-    In a cell that holds its sets whole they are decided here, and a spanning
-    forest of the links returned (overlap -1); else pairs with partial overlaps.
-    """
+def _overlaps(group: pa.Table, num: int, den: int) -> pa.Table:
+    """A cell's links: rows ``(u, v, null)`` of a spanning forest, and ``(u, null, documents linked with u here)``."""
     order = pc.sort_indices(group, [("key", "ascending")])
     group = group.take(order)
-    key, n = group.column("key").to_numpy(), group.column("n").to_numpy().astype(np.int64)
-    whole, blocks, b = group.column("cuts")[0].as_py() == 1, group.column("blocks")[0].as_py(), group.column("b")[0].as_py()
+    key, n, copies = (group.column(x).to_numpy().astype(np.int64) for x in ("key", "n", "copies"))
+    mine = group.column("own").to_numpy(zero_copy_only=False)  # of the cell's first block
+    within = group.column("within")[0].as_py()
     count = np.array([len(x) // 8 for x in group.column("shingles").to_pylist()], dtype=np.int64)
-    values = _array(group.column("shingles"), np.uint64)
-    at = np.concatenate(([0], np.cumsum(count)))
-    # Inverted index: the sets of each shingle, later sets last.
+    values = wh.mix(_array(group.column("shingles"), np.uint64))
+    owner = np.repeat(np.arange(len(key)), count)
+    # Inverted index: the sets of each shingle, in the (mixed) order of shingles, so a fragment is a stretch of it.
     order = np.argsort(values, kind="stable")
-    lists = np.repeat(np.arange(len(key), dtype=np.int32), count)[order]
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    sorted_ = values[order]
-    last = np.flatnonzero(np.r_[sorted_[1:] != sorted_[:-1], True]) + 1 if len(values) else np.zeros(0, int)
-    end = last[np.searchsorted(last, np.arange(len(order)), side="right")] if len(values) else last
-    mine = (key.view(np.uint64) >> np.uint64(7)) % np.uint64(blocks) == np.uint64(b)
+    values, owner = values[order], owner[order]
+    head = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
+    tail = np.r_[head[1:], len(values)] if len(values) else head
+    post = np.repeat(np.arange(len(head)), tail - head)  # the shingle of every entry
+    each = tail - head
+    cuts = np.searchsorted(values, [np.uint64(((1 << 64) - 1) // RANGES * i) for i in range(RANGES)], "left").tolist() + [len(values)]
+    ask = np.flatnonzero(mine)
+    number = np.full(len(key), -1)
+    number[ask] = np.arange(len(ask))
+    width = len(key)
+    total = np.zeros((len(ask), width), dtype=np.int32)  # overlaps, summed over the fragments
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        _partial(total, owner[a:b], post[a:b], head - a, each, ask, number)
     parent = list(range(len(key)))
 
     def root(x: int) -> int:
@@ -259,31 +307,57 @@ def _overlaps(group: pa.Table, num: int, den: int) -> pa.Table:
             x = parent[x]
         return x
 
-    left, right, partial_ = [], [], []
-    for x in np.flatnonzero(mine).tolist():
-        p = place[at[x] : at[x + 1]]
-        size = end[p] - p - 1
-        p, size = p[size > 0], size[size > 0]
-        if not len(p):
-            continue
-        to = np.cumsum(size)
-        hits = lists[np.repeat(p + 1 - (to - size), size) + np.arange(int(to[-1]))]
-        o = np.bincount(hits, minlength=len(key))
-        if whole:
-            for y in np.flatnonzero((den + num) * o >= num * (n + n[x])).tolist():
-                if o[y] and (a := root(x)) != (c := root(y)):
-                    parent[max(a, c)] = min(a, c)
-                    left.append(key[x]), right.append(key[y]), partial_.append(-1)
-        else:
-            y = np.flatnonzero(o)
-            left += [key[x]] * len(y)
-            right += key[y].tolist()
-            partial_ += o[y].tolist()
-    return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(partial_, pa.int64())], names=["u", "v", "o"])
+    linked = np.zeros(len(key), np.int64)
+    left, right = [], []
+    for q in range(0, len(ask), QUERIES):
+        rows = total[q : q + QUERIES].ravel()
+        hit = np.flatnonzero(rows)
+        x, y = ask[q + hit // width], hit % width
+        ok = (den + num) * rows[hit].astype(np.int64) >= num * (n[x] + n[y])
+        # Inside one block every pair is met twice; a set is no partner of its own.
+        ok &= (x < y) if within else ~mine[y]
+        x, y = x[ok], y[ok]
+        np.add.at(linked, x, copies[y])
+        np.add.at(linked, y, copies[x])
+        for u, v in zip(x.tolist(), y.tolist(), strict=True):
+            if (a := root(u)) != (c := root(v)):
+                parent[max(a, c)] = min(a, c)
+                left.append(key[u]), right.append(key[v])
+    some = np.flatnonzero(linked)
+    u = np.concatenate((np.array(left, np.int64), key[some]))
+    v = pa.array([*right, *[None] * len(some)], pa.int64())
+    return pa.table([pa.array(u), v, pa.array([*[None] * len(left), *linked[some].tolist()], pa.int64())], names=["u", "v", "docs"])
+
+
+def _cells(joined: DataFrame, num: int, den: int) -> DataFrame:
+    """Sets with the cells they go to, and whether they are of a cell's first block.
+
+    A set's class is the power of ``den / num`` that its size lies in, so linked sets are of one class or of neighbouring
+    ones; the sets of a group's class are cut into blocks by hash.  A group of one small block in all is put with others.
+    """
+    step = math.log(den / num)
+    sized = joined.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9))
+    groups = joined.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("total")).withColumn("small", (F.col("members") <= MEMBERS) & (F.col("total") <= CELL))
+    members, total = groups.where("small").agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    buckets = max(4, math.ceil(members / (MEMBERS / 2)), math.ceil(total / (CELL / 2)))
+    columns = ["key", "n", "copies", "shingles"]
+    tagged = sized.join(groups.select("root", "small"), "root")
+    small = tagged.where("small").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("string")).alias("cell"), F.lit(True).alias("own"), F.lit(True).alias("within"), *columns)
+    large = tagged.where("NOT small")
+    blocks = large.groupBy("root", "class").agg(F.greatest(F.ceil(F.count("*") / (MEMBERS / 2)), F.ceil(F.sum("size") / (CELL / 2))).cast("long").alias("blocks"))
+    large = large.join(blocks, ["root", "class"]).withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    # Both sides of a cell are named by class and block, the smaller name first; a set meets all blocks of its own and the neighbouring classes.
+    other = blocks.select("root", F.col("class").alias("c"), F.col("blocks").alias("n_c"))
+    met = large.withColumn("c", F.explode(F.expr("array(class - 1, class, class + 1)"))).join(other, ["root", "c"]).withColumn("o", F.explode(F.expr("sequence(0L, n_c - 1)")))
+    own, far = F.struct(F.col("class").alias("c"), F.col("b").alias("o")), F.struct("c", "o")
+    name = lambda x: F.concat_ws(".", x["c"].cast("string"), x["o"].cast("string"))
+    first, second = F.when(own <= far, name(own)).otherwise(name(far)), F.when(own <= far, name(far)).otherwise(name(own))
+    met = met.select(F.concat_ws(":", "root", first, second).alias("cell"), (own <= far).alias("own"), (own == far).alias("within"), *columns)
+    return small.union(met)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 3, den: int = 4) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs``; links at ``|A n B| / |A u B| >= num / den``.
+    """``(doc_id, n_shingles, component_id, n_links)`` for every row of ``docs``; links at ``|A n B| / |A u B| >= num / den``.
 
     Eager: intermediate tables go to the shared folder.  ``docs`` is read twice.
     """
@@ -292,9 +366,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scan, _ = saved(base.mapInArrow(partial(_scan, k=k), "doc_id long, n long, k1 long, k2 long, hot long, texts long"), "sets")
     sets = scan.where("n is not null").select("doc_id", "n", "k1", "k2")
     rows, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # The size bound: shingles of a thousandth of all texts or more; their number is below 1,000 times the mean set size.
-    found = scan.where("hot is not null").groupBy("hot").agg(F.sum("texts").alias("c")).where(F.col("c") >= max(HOT_LEAST, rows // 1000)).select("hot")
-    hot = np.sort(np.array([r[0] for r in found.collect()], dtype=np.int64).view(np.uint64))
+    # The size bound: shingles in a share of all texts; their number is below the mean set's size divided by that share.
+    found = scan.where("hot is not null").groupBy("hot").agg(F.sum("texts").alias("c")).where(F.col("c") >= max(HOT_LEAST, rows * HOT_SHARE)).select("hot")
+    hot = np.sort(found.toArrow().column("hot").to_numpy().view(np.uint64))
     cuts = max(4, math.ceil(total / FRAGMENT))
     dealt = base.select("text").mapInArrow(partial(_deal, k=k, fragments=cuts, hot=hot), "dest long, keys binary, sizes binary, counts binary, shingles binary")
     shared = dealt.groupBy("dest").applyInArrow(on_group(_shared, fragments=cuts, homes=cuts), "home long, keys binary, sizes binary, counts binary, shingles binary, dfs binary")
@@ -304,26 +378,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = posts.groupBy("shingle").agg(F.min("key").alias("m"), F.max("key").alias("top")).where("m < top").select("shingle", "m")
     chained = posts.join(least, "shingle").select(F.col("key").alias("u"), F.col("m").alias("v"))
     groups = components(chained)
+    classes, classes_path = saved(sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     joined = alive.select("key", "n", "shingles", (F.length("shingles") / 8).cast("long").alias("size")).join(groups.withColumnRenamed("node", "key"), "key")
-    each = joined.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("size"))
-    each = each.select("root", F.ceil(F.col("members") / QUERIES).cast("long").alias("blocks"), F.ceil(F.col("size") / CELL).cast("long").alias("cuts"))
-    buckets = max(4, math.ceil((alive.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0]) / 8 / (CELL / 4)))
-    cells = joined.join(each, "root")
-    alone = (F.col("blocks") == 1) & (F.col("cuts") == 1)
-    cells = cells.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("f", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
-    cell = F.when(alone, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("string"))).otherwise(F.concat_ws(":", "root", "b", "f"))
-    cells = cells.withColumn("cell", cell).select("cell", "cuts", "blocks", "b", "f", "key", "n", "shingles")
-    cells = cells.mapInArrow(_vertical, "cell string, cuts long, blocks long, b long, key long, n int, shingles binary")
-    pairs, pairs_path = saved(cells.groupBy("cell").applyInArrow(on_group(_overlaps, num=num, den=den), "u long, v long, o long"), "pairs")
-    size = alive.select("key", "n")
-    summed = pairs.where("o >= 0").groupBy("u", "v").agg(F.sum("o").alias("o"))
-    summed = summed.join(size.select(F.col("key").alias("u"), F.col("n").alias("nu")), "u").join(size.select(F.col("key").alias("v"), F.col("n").alias("nv")), "v")
-    links = pairs.where("o < 0").select("u", "v").union(summed.where(F.expr(f"{den + num} * o >= {num} * (nu + nv)")).select("u", "v"))
-
-    classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    names = classes.select("k1", "rep")
-    links = links.join(names.select(F.col("k1").alias("u"), F.col("rep").alias("a")), "u").join(names.select(F.col("k1").alias("v"), F.col("rep").alias("b")), "v")
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("root", "rep").alias("component_id"))
-    full = sets.where("n > 0").join(named, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    joined = joined.join(classes.groupBy(F.col("k1").alias("key")).agg(F.sum("copies").alias("copies")), "key")
+    links, links_path = saved(_cells(joined, num, den).groupBy("cell").applyInArrow(on_group(_overlaps, num=num, den=den), "u long, v long, docs long"), "links")
+    degrees = links.where("v is null").groupBy(F.col("u").alias("k1")).agg(F.sum("docs").alias("docs"))
+
+    roots = components(links.where("v is not null").select("u", "v")).withColumnRenamed("node", "k1")
+    named = classes.join(roots, "k1", "left").join(degrees, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named, _ = saved(named.join(least_id, "root").select("n", "k1", "k2", "component_id", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
+    remove(spark, alive_path, posts_path, links_path, classes_path)
+    full = sets.where("n > 0").join(named, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return full.union(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
