@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import decontaminate, jaccard_join, language, packing, pii
-from trackloom.llm.common import saved, table
+from trackloom.llm.common import saved, scope, table
 from trackloom.llm.entry import tokenizer_path
 from trackloom.session import ship
 
@@ -75,7 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = saved(stage(spark, docs, sf_dir), name)
+        # What a stage made for itself goes once its result is written, and so does the table it read.
+        with scope(spark) as made:
+            docs, path = saved(stage(spark, docs, sf_dir), name)
+            made.remove(path)
+            if old:
+                made.append(old)
+        old = path
     return docs
