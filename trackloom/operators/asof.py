@@ -3,7 +3,8 @@
 Rows of both sides are sorted within time buckets; what a bucket's first rows
 need from earlier (later) buckets is carried over from a table with one row
 per bucket.  So no window spans the whole series, and a window of the carry
-table has as many rows as the series has buckets.
+table has as many rows as the series has buckets.  Buckets are days, a busy day
+cut into as many equal parts as its rows call for.
 """
 
 from __future__ import annotations
@@ -13,8 +14,21 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 
+DAY = 86_400
+#: Rows of a bucket, about; a day of more is cut.
+BUCKET_ROWS = 500_000
 
-def bracket(items: DataFrame, track: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+
+def bucketed(rows: DataFrame, sizes: DataFrame, t: str = "t", rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
+    """``rows`` with ``bucket``, in the order of time; ``sizes(t)`` are all the rows that share the buckets."""
+    busy = sizes.groupBy(F.floor(F.col("t") / DAY).alias("_day")).agg(F.ceil(F.count("*") / rows_per_bucket).alias("_parts")).where("_parts > 1")
+    day = F.floor(F.col(t) / DAY)
+    cut = rows.withColumn("_day", day).join(busy, "_day", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    part = F.floor((F.col(t) - F.col("_day") * DAY) * F.col("_parts") / DAY)
+    return cut.withColumn("bucket", F.struct(F.col("_day").alias("day"), part.alias("part"))).drop("_day", "_parts")
+
+
+def bracket(items: DataFrame, track: DataFrame, rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """``items`` with ``before`` (last point at or before ``t``) and ``after`` (first point later than ``t``).
 
     ``track`` has ``t, lat, lon, file, idx``; ties are broken by file and index.
@@ -23,10 +37,10 @@ def bracket(items: DataFrame, track: DataFrame, bucket_seconds: int = 86_400) ->
     point = F.struct("t", "file", "idx", "lat", "lon")
     points = track.select(F.col("t"), F.lit(0).alias("side"), point.alias("p"), F.lit(None).cast(items.select(F.struct("*").alias("r")).schema[0].dataType).alias("r"))
     rows = items.select(F.col("t"), F.lit(1).alias("side"), F.lit(None).cast(points.schema["p"].dataType).alias("p"), F.struct("*").alias("r"))
-    both = points.union(rows).withColumn("bucket", F.floor(F.col("t") / bucket_seconds))
-    edge = points.withColumn("bucket", F.floor(F.col("t") / bucket_seconds)).groupBy("bucket").agg(F.max("p").alias("last"), F.min("p").alias("first"))
+    both = bucketed(points.union(rows), items.select("t").union(track.select("t")), rows_per_bucket=rows_per_bucket)
+    # Of a bucket without points (items alone) the edges are null.
+    buckets = both.groupBy("bucket").agg(F.max("p").alias("last"), F.min("p").alias("first"))
     up, down = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = both.select("bucket").distinct().join(edge, "bucket", "left")
     carry = buckets.select("bucket", F.last("last", True).over(up).alias("from_before"), F.last("first", True).over(down).alias("from_after"))
     order = [F.col("t"), F.col("side"), F.col("p.file"), F.col("p.idx")]
     running = (Window.unboundedPreceding, Window.currentRow)
@@ -53,7 +67,8 @@ def ends(track: DataFrame) -> DataFrame:
 
 
 def place(items: DataFrame, track: DataFrame, direct: float = 60, gap: float = 1800, distance: float = 1000, speed: float = 150, reach: float = 300) -> DataFrame:
-    """``items`` with ``method, lat, lon`` (replacing such columns of theirs): direct match, interpolation between brackets, or extrapolation past an end.
+    """``items`` with ``method, lat, lon, gpx_file`` (replacing such columns of theirs): direct match, interpolation between
+    brackets, or extrapolation past an end; ``gpx_file`` is that of the matched, the earlier or the end point.
 
     With both brackets a failed gate blocks; extrapolation is for items beyond
     the track, from its last (first) two points.  Coordinates that are computed
@@ -74,10 +89,11 @@ def place(items: DataFrame, track: DataFrame, direct: float = 60, gap: float = 1
 
     def value(c: str) -> Column:
         inner = F.round(scalar.interpolate(b[c], a[c], b["t"], a["t"], t), 6)
-        outer = F.when(q.isNull() | (q["t"] == p["t"]), p[c]).otherwise(F.round(scalar.interpolate(q[c], p[c], q["t"], p["t"], t), 6))
+        outer = F.round(F.when(q.isNull() | (q["t"] == p["t"]), p[c]).otherwise(scalar.interpolate(q[c], p[c], q["t"], p["t"], t)), 6)
         return F.when(method == "direct", near[c]).when(method == "interpolated", inner).when(method == "extrapolated", outer)
 
-    return rows.select(*[c for c in items.columns if c not in ("method", "lat", "lon")], method.alias("method"), value("lat").alias("lat"), value("lon").alias("lon"))
+    file = F.when(method == "direct", near["file"]).when(method == "interpolated", b["file"]).when(method == "extrapolated", p["file"])
+    return rows.select(*[c for c in items.columns if c not in ("method", "lat", "lon", "gpx_file")], method.alias("method"), value("lat").alias("lat"), value("lon").alias("lon"), file.alias("gpx_file"))
 
 
 def within(buckets: DataFrame, track: DataFrame, cell: int = 86_400) -> DataFrame:

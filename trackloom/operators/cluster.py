@@ -2,27 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def consensus(candidates: DataFrame, spread: int = 120) -> DataFrame:
-    """``(grp, offset_s, members, conflicts, confidence)`` per group of ``candidates(grp, path, kind, metres, offset_s)``.
+def anchors(candidates: DataFrame) -> DataFrame:
+    """Candidates with their rank in the group (points before segments, then distance, then path) as ``rank`` and ``anchor-NNN``.
 
-    Candidates are ranked (points before segments, then distance, then path);
-    each joins the first cluster whose leader is within ``spread``.  Equal
-    offsets are folded together first, so a group's array has one entry per
-    distinct offset (bounded by the clock window), however many frames agree.
+    A group (one camera in one folder, or one day of it) has some thousand candidates at most, by the photos it holds.
     """
-    ranked = candidates.groupBy("grp", "offset_s").agg(F.min(F.struct((F.col("kind") != "point").cast("int").alias("far"), "metres", "path")).alias("rank"), F.count("*").alias("n"), F.count_if(F.col("kind") == "point").alias("points"))
-    items = ranked.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("rank", "offset_s", "n", "points"))).alias("c"))
-    merge = f"""aggregate(c, cast(array() as array<struct<lead:bigint,n:bigint,points:bigint>>), (acc, x) ->
-        CASE WHEN exists(acc, k -> abs(k.lead - x.offset_s) <= {spread})
-        THEN transform(acc, (k, i) -> CASE WHEN i = array_position(transform(acc, z -> abs(z.lead - x.offset_s) <= {spread}), true) - 1
-             THEN named_struct('lead', k.lead, 'n', k.n + x.n, 'points', k.points + x.points) ELSE k END)
-        ELSE concat(acc, array(named_struct('lead', cast(x.offset_s as bigint), 'n', x.n, 'points', x.points))) END)"""
-    won = items.withColumn("k", F.expr(merge)).withColumn("best", F.expr("array_sort(transform(k, (z, i) -> struct(-z.n as n, i as i, z as z)))[0].z"))
-    total = F.aggregate("k", F.lit(0).cast("bigint"), lambda a, z: a + z["n"])
-    clash = total - F.col("best.n")
-    confidence = F.when(clash > 0, "review_required").when((F.col("best.n") > 1) | (F.col("best.points") > 0), "high").otherwise("medium")
-    return won.select("grp", F.col("best.lead").alias("offset_s"), F.col("best.n").alias("members"), clash.alias("conflicts"), confidence.alias("confidence"))
+    order = Window.partitionBy("grp").orderBy((F.col("kind") != "point").cast("int"), "metres", "path")
+    return candidates.withColumn("rank", F.row_number().over(order)).withColumn("anchor", F.format_string("anchor-%03d", "rank"))
+
+
+def _leaders(spread: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        # Leaders are more than the spread apart, so a cell of that width holds one at most.
+        at, out = {}, []
+        for offset, n, points in group.sort_values(["far", "metres", "path"])[["offset_s", "n", "points"]].itertuples(index=False):
+            cell = offset // (spread + 1)
+            near = [k for c in (cell - 1, cell, cell + 1) if (k := at.get(c)) is not None and abs(out[k][1] - offset) <= spread]
+            if near:
+                out[min(near)][2] += n
+                out[min(near)][3] += points
+            else:
+                at[cell] = len(out)
+                out.append([len(out), offset, n, points])
+        rows = pd.DataFrame(out, columns=["cluster", "offset_s", "members", "points"])
+        rows.insert(0, "grp", group["grp"].iloc[0])
+        return rows
+
+    return run
+
+
+def clusters(candidates: DataFrame, spread: int = 120) -> DataFrame:
+    """``(grp, cluster, offset_s, members, points)``: each ranked candidate joins the first cluster whose leader is within ``spread``.
+
+    Equal offsets are folded together first, so a group has one row per distinct offset (bounded by the clock
+    window) in its task, however many frames agree, and each is compared with three leaders at most.
+    """
+    rank = F.min(F.struct((F.col("kind") != "point").cast("int").alias("far"), "metres", "path")).alias("r")
+    folded = candidates.groupBy("grp", "offset_s").agg(rank, F.count("*").alias("n"), F.count_if(F.col("kind") == "point").alias("points"))
+    rows = folded.select("grp", F.col("offset_s").cast("long").alias("offset_s"), "r.far", "r.metres", "r.path", "n", "points")
+    kind = dict(candidates.dtypes)["grp"]
+    return rows.groupBy("grp").applyInPandas(_leaders(spread), f"grp {kind}, cluster int, offset_s long, members long, points long")
+
+
+def consensus(candidates: DataFrame, spread: int = 120) -> DataFrame:
+    """``(grp, offset_s, members, conflicts, confidence)``: the largest cluster of each group, the earliest of equal ones."""
+    each = clusters(candidates, spread)
+    won = each.groupBy("grp").agg(F.max_by(F.struct("offset_s", "members", "points", "cluster"), F.struct("members", -F.col("cluster"))).alias("best"), F.sum("members").alias("total"))
+    clash = F.col("total") - F.col("best.members")
+    # A leader is its cluster's best candidate, so it is a point where any member is.
+    confidence = F.when(clash > 0, "review_required").when((F.col("best.members") > 1) | (F.col("best.points") > 0), "high").otherwise("medium")
+    return won.select("grp", F.col("best.offset_s").alias("offset_s"), F.col("best.members").alias("members"), clash.alias("conflicts"), confidence.alias("confidence"))

@@ -1,28 +1,57 @@
-"""Nearest points and segments within a distance and a time window, by grid cells."""
+"""Nearest points and segments within a distance and a time window, by grid cells of latitude, longitude and time.
+
+Cells are a little wider than the reach, so a frame goes to the cells that its reach touches (one or two a
+dimension) and a point to its own.  A crowded cell is a hot key of an equi-join, which adaptive execution splits;
+the minimum per frame is partial before the shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from .asof import bucketed
 
 #: Degrees of latitude a metre is at most (a little more than 1 / 111,194).
 _DEGREE = 1 / 111_000
 
 
-def _cells(frames: DataFrame, reach: float, window: int) -> DataFrame:
-    """Frames once for each neighbouring cell of latitude and time."""
-    band, slot = reach * _DEGREE, window
-    f = frames.withColumn("band", F.explode(F.expr(f"sequence(cast(floor(lat / {band}) as bigint) - 1, cast(floor(lat / {band}) as bigint) + 1)")))
-    return f.withColumn("slot", F.explode(F.expr(f"sequence(cast(floor(t / {slot}) as bigint) - 1, cast(floor(t / {slot}) as bigint) + 1)")))
+def _steps(band: Column, width: float, reach: float) -> Column:
+    """Cells of longitude around the globe in a band of latitude: as many as are at least ``width`` wide at its far edge."""
+    far = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * width + 2 * reach, F.lit(90.0))
+    return F.greatest(F.lit(1).cast("long"), F.floor(360.0 * F.cos(F.radians(far)) / width))
+
+
+def _cell(lon: Column, steps: Column) -> Column:
+    return F.floor((lon + 180.0) / 360.0 * steps)
+
+
+def _around(frames: DataFrame, reach: float, width: float) -> DataFrame:
+    """Frames once for each cell of latitude and longitude that their reach touches."""
+    edge = reach * _DEGREE
+    lat, lon = F.col("lat"), F.col("lon")
+    f = frames.withColumn("band", F.explode(F.sequence(F.floor((lat - edge) / width), F.floor((lat + edge) / width))))
+    steps = _steps(F.col("band"), width, edge)
+    # The reach in cells is at most edge / width of one, as a cell is at least so wide.
+    at = (lon + 180.0) / 360.0 * steps
+    span = F.sequence(F.floor(at - edge / width), F.floor(at + edge / width))
+    return f.withColumn("cell", F.explode(F.array_distinct(F.transform(span, lambda c: F.pmod(c, steps)))))
+
+
+def _gridded(points: DataFrame, lat: str, lon: str, reach: float, width: float) -> DataFrame:
+    p = points.withColumn("band", F.floor(F.col(lat) / width))
+    steps = _steps(F.col("band"), width, reach * _DEGREE)
+    return p.withColumn("cell", F.pmod(_cell(F.col(lon), steps), steps))
 
 
 def nearest_point(frames: DataFrame, track: DataFrame, reach: float = 50, window: int = 172_800) -> DataFrame:
     """``(path, metres, offset, point)`` of frames that have a point within reach and window; ties go to the earlier point."""
+    width, slot = 2 * reach * _DEGREE, 2 * window
     p = track.select(F.col("t").alias("pt"), "file", "idx", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
-    p = p.withColumn("band", F.floor(F.col("plat") / (reach * _DEGREE))).withColumn("slot", F.floor(F.col("pt") / window))
-    joined = _cells(frames, reach, window).join(p, ["band", "slot"]).where(F.abs(F.col("pt") - F.col("t")) <= window)
+    p = _gridded(p, "plat", "plon", reach, width).withColumn("slot", F.floor(F.col("pt") / slot))
+    f = _around(frames, reach, width).withColumn("slot", F.explode(F.sequence(F.floor((F.col("t") - window) / slot), F.floor((F.col("t") + window) / slot))))
+    joined = f.join(p, ["band", "cell", "slot"]).where(F.abs(F.col("pt") - F.col("t")) <= window)
     d = scalar.haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
     close = joined.withColumn("metres", d).where(F.col("metres") <= reach)
     # A minimum per frame: partial before the shuffle.
@@ -30,10 +59,10 @@ def nearest_point(frames: DataFrame, track: DataFrame, reach: float = 50, window
     return best.select("path", F.round("b.metres", 2).alias("metres"), (F.col("b.pt") - F.col("t")).alias("offset_s"), F.col("b.idx").alias("point"))
 
 
-def segments(track: DataFrame, bucket: int = 86_400) -> DataFrame:
+def segments(track: DataFrame) -> DataFrame:
     """Adjacent pairs of the series, without a window over all of it: each bucket's last point meets the next bucket's first."""
     point = F.struct("t", "file", "idx", "lat", "lon")
-    rows = track.select(F.floor(F.col("t") / bucket).alias("bucket"), point.alias("a"))
+    rows = bucketed(track, track.select("t")).select("bucket", point.alias("a"))
     heads = rows.groupBy("bucket").agg(F.min("a").alias("head"))
     following = heads.select("bucket", F.lead("head").over(Window.orderBy("bucket")).alias("head"))
     pairs = rows.withColumn("b", F.lead("a").over(Window.partitionBy("bucket").orderBy("a")))
@@ -42,32 +71,42 @@ def segments(track: DataFrame, bucket: int = 86_400) -> DataFrame:
 
 def skip_reason(frames: DataFrame, track: DataFrame, matched: DataFrame, reach: float = 50) -> DataFrame:
     """Why frames have no match: a point is near at another time, or none is near at all."""
-    band = reach * _DEGREE
+    width = 2 * reach * _DEGREE
     left = frames.join(matched.select("path"), "path", "left_anti")
-    p = track.select(F.col("lat").alias("plat"), F.col("lon").alias("plon")).distinct().withColumn("band", F.floor(F.col("plat") / band))
-    near = left.withColumn("band", F.explode(F.expr(f"sequence(cast(floor(lat / {band}) as bigint) - 1, cast(floor(lat / {band}) as bigint) + 1)"))).join(p, "band")
-    near = near.where(scalar.haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= reach).select("path").distinct().withColumn("near", F.lit(True))
+    p = _gridded(track.select(F.col("lat").alias("plat"), F.col("lon").alias("plon")).distinct(), "plat", "plon", reach, width)
+    near = _around(left, reach, width).alias("f").join(
+        p.alias("p"), (F.col("f.band") == F.col("p.band")) & (F.col("f.cell") == F.col("p.cell")) & (scalar.haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= reach), "left_semi"
+    )
+    near = near.select("path").distinct().withColumn("near", F.lit(True))
     return left.join(near, "path", "left").select("path", F.when(F.col("near"), "outside_time_window").otherwise("no_nearby_track").alias("reason"))
 
 
-def nearest_segment(frames: DataFrame, track: DataFrame, reach: float = 25, window: int = 172_800, gap: int = 1800, band: float = 0.01) -> DataFrame:
+def nearest_segment(frames: DataFrame, track: DataFrame, reach: float = 25, window: int = 172_800, gap: int = 1800, width: float = 0.01) -> DataFrame:
     """``(path, metres, offset_s, duration_s, point)``: the closest segment of adjacent points within reach.
 
-    A segment lasts more than 0 and at most ``gap`` seconds; the time at the
-    frame's projection lies within the window.  A segment goes to the bands of
-    latitude it crosses (so to few, as ``gap`` bounds it) and a frame to its own
-    band; ties go to the earlier segment.
+    A segment lasts more than 0 and at most ``gap`` seconds; the time at the frame's projection lies within the
+    window.  A segment goes to the cells along it (in each band of latitude those between the longitudes at which it
+    enters and leaves), and a frame to its own; ties go to the earlier segment.
     """
     pair = segments(track).select(*[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "ab" for c in ("t", "file", "idx", "lat", "lon")])
     pair = pair.withColumn("span", F.col("bt") - F.col("at")).where((F.col("span") > 0) & (F.col("span") <= gap))
     edge = reach * _DEGREE
-    pair = pair.withColumn("band", F.explode(F.expr(f"sequence(cast(floor((least(alat, blat) - {edge}) / {band}) as bigint), cast(floor((greatest(alat, blat) + {edge}) / {band}) as bigint))")))
+    low, high = F.least("alat", "blat"), F.greatest("alat", "blat")
+    pair = pair.withColumn("band", F.explode(F.sequence(F.floor((low - edge) / width), F.floor((high + edge) / width))))
+    # Shares of the segment at the band's edges, taken a reach further out.
+    slope = F.when(F.col("blat") == F.col("alat"), None).otherwise(F.col("blat") - F.col("alat"))
+    ends = [F.coalesce((F.col("band") * width - edge - F.col("alat")) / slope, F.lit(0.0)), F.coalesce(((F.col("band") + 1) * width + edge - F.col("alat")) / slope, F.lit(1.0))]
+    shares = [F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) for x in ends]
+    lons = [F.col("alon") + (F.col("blon") - F.col("alon")) * x for x in shares]
+    steps = _steps(F.col("band"), width, edge)
+    first, last = ((F.least(*lons) + 180.0) / 360.0 * steps - edge / width, (F.greatest(*lons) + 180.0) / 360.0 * steps + edge / width)
+    pair = pair.withColumn("cell", F.explode(F.array_distinct(F.transform(F.sequence(F.floor(first), F.floor(last)), lambda c: F.pmod(c, steps)))))
     pair = pair.withColumn("slot", F.floor(F.col("at") / window))
-    f = frames.select("path", "t", "lat", "lon").withColumn("band", F.floor(F.col("lat") / band))
+    f = _gridded(frames.select("path", "t", "lat", "lon"), "lat", "lon", reach, width)
     f = f.withColumn("slot", F.explode(F.expr(f"sequence(cast(floor((t - {window + gap}) / {window}) as bigint), cast(floor((t + {window}) / {window}) as bigint))")))
     bx, by = scalar.equirect(F.col("blat"), F.col("blon"), F.col("alat"), F.col("alon"))
     px, py = scalar.equirect(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))
-    near = f.join(pair, ["band", "slot"]).select("path", "t", "at", "afile", "aidx", "span", *[c.alias(n) for c, n in ((bx, "bx"), (by, "by"), (px, "px"), (py, "py"))])
+    near = f.join(pair, ["band", "cell", "slot"]).select("path", "t", "at", "afile", "aidx", "span", *[c.alias(n) for c, n in ((bx, "bx"), (by, "by"), (px, "px"), (py, "py"))])
     zero = F.lit(0.0)
     metres, share = scalar.point_segment(F.col("px"), F.col("py"), zero, zero, F.col("bx"), F.col("by"))
     near = near.withColumn("metres", metres).where(F.col("metres") <= reach).withColumn("when", F.col("at") + share * F.col("span")).where(F.abs(F.col("when") - F.col("t")) <= window)

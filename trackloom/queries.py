@@ -1,19 +1,18 @@
-"""Registry: one query per operator, each with its DuckDB oracle where SQL can express it."""
+"""One query per operator, each with its DuckDB oracle where SQL can express it; the other modules of queries add theirs."""
 
-from __future__ import annotations
+# ruff: noqa: E402, F401
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .adapters import CLASSES, Tables, with_
+from .adapters import CLASSES, with_
 from .functions import scalar
 from .operators import asof, cluster, hierarchy, naming, relational, spatial
+from .registry import ORACLES, QUERIES, query
 from .sources import gpx
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 _HAV = "2 * 6371000.0 * atan2(sqrt({a}), sqrt(1 - {a}))"
 
 
@@ -22,18 +21,6 @@ def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return _HAV.format(a=a)
 
 
-def query(oracle: str | None = None):
-    """Register ``f(tables)`` under its name."""
-
-    def keep(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return keep
-
-
 # --- time series -----------------------------------------------------------------------------
 
 @query(with_("bracket") + "SELECT path, bidx AS before_idx, aidx AS after_idx FROM bracket")
@@ -134,20 +121,56 @@ def skip_reason_j22(s):
 
 
 def _candidates(s):
-    near = spatial.nearest_point(s.photos().where("native"), s.track())
-    return near.join(s.photos().select("path", "grp"), "path").select("grp", "path", F.lit("point").alias("kind"), "metres", F.col("offset_s"))
+    """Every native frame's nearest point, or else its nearest segment."""
+    frames, track = s.photos().where("native"), s.track()
+    near = spatial.nearest_point(frames, track).select("path", "metres", "offset_s", F.lit("point").alias("kind"))
+    far = spatial.nearest_segment(frames.join(near.select("path"), "path", "left_anti"), track, reach=200).select("path", "metres", "offset_s", F.lit("segment").alias("kind"))
+    return near.union(far).join(s.photos().select("path", "grp"), "path").select("grp", "path", "kind", "metres", "offset_s")
+
+
+_SEGMENT = f""", s AS (SELECT * FROM (SELECT t AS at_, file, idx, lat AS alat, lon AS alon, lead(t) OVER w AS bt, lead(lat) OVER w AS blat, lead(lon) OVER w AS blon FROM track WINDOW w AS (ORDER BY t, file, idx)) WHERE bt - at_ BETWEEN 1 AND 1800),
+xy AS (SELECT f.path, f.t, s.*, radians(blon - alon) * cos(radians(alat)) * 6371000.0 AS bx, radians(blat - alat) * 6371000.0 AS b_y, radians(f.lon - alon) * cos(radians(alat)) * 6371000.0 AS px, radians(f.lat - alat) * 6371000.0 AS py
+  FROM f JOIN s ON s.at_ BETWEEN f.t - 174600 AND f.t + 172800 WHERE f.path NOT IN (SELECT path FROM near)),
+sh AS (SELECT *, CASE WHEN bx * bx + b_y * b_y = 0 THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (px * bx + py * b_y) / (bx * bx + b_y * b_y))) END AS share FROM xy),
+d AS (SELECT *, sqrt(power(px - share * bx, 2) + power(py - share * b_y, 2)) AS metres, at_ + share * (bt - at_) AS at_frame FROM sh),
+best AS (SELECT * FROM d WHERE metres <= 200 AND abs(at_frame - t) <= 172800 QUALIFY row_number() OVER (PARTITION BY path, t ORDER BY metres, at_, file, idx) = 1)
+"""
+_CANDS = _NEAR + _SEGMENT + """, cand AS (SELECT grp, path, 'point' AS kind, round(metres, 2) AS metres, offset_s FROM near JOIN (SELECT path, grp FROM photos) USING (path)
+  UNION ALL SELECT grp, path, 'segment', round(metres, 2), round_even(at_frame - t, 0)::BIGINT FROM best JOIN (SELECT path, grp FROM photos) USING (path)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY kind <> 'point', metres, path) AS rank FROM cand)
+"""
+_LEADERS = _CANDS.replace("WITH ", "WITH RECURSIVE ", 1) + """, step(grp, rank, leads, sizes, points) AS (
+  SELECT grp, rank, [offset_s], [1], [CASE WHEN kind = 'point' THEN 1 ELSE 0 END] FROM ranked WHERE rank = 1
+  UNION ALL
+  SELECT n.grp, n.rank, CASE WHEN n.at IS NULL THEN list_append(leads, offset_s) ELSE leads END,
+    CASE WHEN n.at IS NULL THEN list_append(sizes, 1) ELSE list_transform(sizes, lambda x, i: x + CASE WHEN i = n.at THEN 1 ELSE 0 END) END,
+    CASE WHEN n.at IS NULL THEN list_append(points, is_point) ELSE list_transform(points, lambda x, i: x + CASE WHEN i = n.at THEN is_point ELSE 0 END) END
+  FROM (SELECT r.grp, r.rank, s.leads, s.sizes, s.points, r.offset_s, CASE WHEN r.kind = 'point' THEN 1 ELSE 0 END AS is_point,
+      list_position(list_transform(s.leads, lambda x: abs(x - r.offset_s) <= 120), true) AS at
+    FROM step s JOIN ranked r ON r.grp = s.grp AND r.rank = s.rank + 1) n),
+done AS (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY grp ORDER BY rank DESC) = 1),
+clusters AS (SELECT grp, unnest(leads) AS offset_s, unnest(sizes) AS members, unnest(points) AS points, unnest(range(len(leads))) AS cluster FROM done),
+won AS (SELECT *, sum(members) OVER (PARTITION BY grp) AS total FROM clusters QUALIFY row_number() OVER (PARTITION BY grp ORDER BY members DESC, cluster) = 1)
+"""
 
 
-@query(_NEAR + ", r AS (SELECT grp, f.path, metres, offset_s FROM near JOIN f USING (path)) SELECT grp, path, row_number() OVER (PARTITION BY grp ORDER BY round(metres, 2), path) AS rank FROM r")
+@query(_CANDS + "SELECT grp, path, kind, rank, 'anchor-' || lpad(rank::VARCHAR, greatest(3, length(rank::VARCHAR))::INT, '0') AS anchor FROM ranked")
 def anchor_rank_w5(s):
-    return _candidates(s).select("grp", "path", F.row_number().over(Window.partitionBy("grp").orderBy("metres", "path")).alias("rank"))
+    return cluster.anchors(_candidates(s)).select("grp", "path", "kind", F.col("rank").cast("long").alias("rank"), "anchor")
 
 
-@query()
+@query(_LEADERS + """SELECT grp, offset_s, members::BIGINT AS members, (total - members)::BIGINT AS conflicts,
+  CASE WHEN total > members THEN 'review_required' WHEN members > 1 OR points > 0 THEN 'high' ELSE 'medium' END AS confidence FROM won""")
 def consensus_cluster_a13(s):
     return cluster.consensus(_candidates(s))
 
 
+@query(_LEADERS + "SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY members DESC, offset_s) AS position, offset_s, members::BIGINT AS members FROM clusters")
+def cluster_order_o5(s):
+    order = Window.partitionBy("grp").orderBy(F.desc("members"), "offset_s")
+    return cluster.clusters(_candidates(s)).select("grp", F.row_number().over(order).cast("long").alias("position"), "offset_s", "members")
+
+
 @query(with_("track") + f", w AS (SELECT idx, lat, lon, lead(lat) OVER o AS lat2, lead(lon) OVER o AS lon2 FROM track WINDOW o AS (ORDER BY t, file, idx)) SELECT idx, round({hav('lat', 'lon', 'lat2', 'lon2')}, 3) AS metres FROM w WHERE lat2 IS NOT NULL")
 def haversine_x1(s):
     g = spatial.segments(s.track())
@@ -413,7 +436,7 @@ def staleness_j18(s):
     return relational.stale(s.cache().selectExpr("path AS dep", "c_size AS fp"), s.files().where("doc_id % 13 <> 0").selectExpr("path AS dep", "size AS fp"))
 
 
-@query(with_("files") + ", b AS (SELECT substr(sha256(path), 1, 2) AS b, sha256(string_agg(path || ' ' || fp, chr(10) ORDER BY path || ' ' || fp)) AS h FROM files GROUP BY 1) SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint, count(*) AS buckets FROM b")
+@query(with_("files") + ", b AS (SELECT substr(sha256(path), 1, 2) AS b, sha256(string_agg(sha256(path || ' ' || fp), chr(10) ORDER BY sha256(path || ' ' || fp))) AS h FROM files GROUP BY 1) SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint, count(*) AS buckets FROM b")
 def index_fingerprint_a16(s):
     return relational.index_fingerprint(s.files(), F.col("path"), F.concat_ws(" ", "path", "fp"))
 
@@ -433,10 +456,14 @@ def max_suffix_a19(s):
     return naming.max_suffix(s.names())
 
 
-@query("WITH i AS (SELECT 'd' || (p_size % 7) AS dir, p_partkey AS path, p_brand AS base, row_number() OVER (PARTITION BY p_size % 7, lower(p_brand) ORDER BY lpad(p_partkey::VARCHAR, 12, '0')) - 1 AS n FROM part) SELECT dir, path, base || CASE WHEN n = 0 THEN '' ELSE '-' || printf('%03d', n) END || '.jpg' AS name FROM i")
+#: Incoming files want their brand's name; the library holds the files of names() whose key is even.
+@query(with_("names") + f""", lib AS (SELECT DISTINCT dir, lower(regexp_replace({_STEM}, '-[0-9]{{3,}}$', '')) AS root, coalesce(nullif(regexp_extract({_STEM}, '-([0-9]{{3,}})$', 1), '')::INT, 0) AS slot FROM names WHERE p_partkey % 2 = 0),
+i AS (SELECT 'd' || (p_size % 7) AS dir, p_partkey AS path, p_brand AS base, row_number() OVER (PARTITION BY p_size % 7, p_brand ORDER BY p_partkey) AS r FROM part),
+free AS (SELECT dir, root, slot, row_number() OVER (PARTITION BY dir, root ORDER BY slot) AS r FROM (SELECT dir, lower(base) AS root, unnest(range(0, count(*) + 60)) AS slot FROM i GROUP BY 1, 2) ANTI JOIN lib USING (dir, root, slot))
+SELECT i.dir, path, base || CASE WHEN slot = 0 THEN '' ELSE '-' || lpad(slot::VARCHAR, greatest(3, length(slot::VARCHAR))::INT, '0') END || '.jpg' AS name FROM i JOIN free f ON f.dir = i.dir AND f.root = lower(base) AND f.r = i.r""")
 def suffix_alloc_w2(s):
     i = s.part.selectExpr("concat('d', p_size % 7) AS dir", "lpad(cast(p_partkey AS STRING), 12, '0') AS path", "p_brand AS base", "'jpg' AS ext")
-    return naming.allocate_names(i, i.select("dir", F.lit("").alias("name")).limit(0)).select("dir", F.col("path").cast("long").alias("path"), "name")
+    return naming.allocate_names(i, s.names().where("p_partkey % 2 = 0").select("dir", "name")).select("dir", F.col("path").cast("long").alias("path"), "name")
 
 
 @query(with_("names") + ", i AS (SELECT p_partkey, dir, lower(name) AS k, name FROM names), l AS (SELECT dir, k, count(*) AS c FROM i WHERE p_partkey % 2 = 0 GROUP BY ALL) SELECT i.p_partkey, i.name, CASE WHEN l.k IS NULL THEN 'placed_new' WHEN c = 1 THEN 'already_present' ELSE 'renamed_incoming' END AS disposition FROM i LEFT JOIN l ON l.dir = i.dir AND l.k = i.k WHERE i.p_partkey % 2 = 1")
@@ -485,9 +512,9 @@ def op_explode_x22(s):
     return s.photos().select("path", F.explode(F.filter(ops, lambda x: x.isNotNull())).alias("op"))
 
 
-@query("WITH m AS (SELECT l_partkey AS path, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS delta FROM lineitem WHERE l_partkey % 5 = 0), h AS (SELECT path, seq, sum(delta) OVER (PARTITION BY path ORDER BY seq, delta ROWS UNBOUNDED PRECEDING)::BIGINT AS held FROM m) SELECT path, seq, held FROM h WHERE held > 1")
+@query("WITH m AS (SELECT l_partkey AS path, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS delta FROM lineitem), h AS (SELECT path, seq, sum(delta) OVER (PARTITION BY path ORDER BY seq, delta ROWS UNBOUNDED PRECEDING)::BIGINT AS held FROM m) SELECT path, seq, held FROM h WHERE held > 1")
 def clobber_sim_w8(s):
-    moves = s.lineitem.where("l_partkey % 5 = 0").selectExpr("l_partkey AS path", "l_orderkey * 10 + l_linenumber AS seq", "cast(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS BIGINT) AS delta")
+    moves = s.lineitem.selectExpr("l_partkey AS path", "l_orderkey * 10 + l_linenumber AS seq", "cast(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS BIGINT) AS delta")
     return relational.clobbers(moves)
 
 
@@ -603,3 +630,6 @@ def validators_f7(s):
 @query(with_("files") + "SELECT path, CASE prio WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 3 END AS priority FROM files")
 def dedup_priority_f6(s):
     return s.files().select("path", scalar.priority(F.col("path"), ["f3", "f1", "f0"]).cast("int").alias("priority"))
+
+
+from . import queries_geotag, queries_prep, queries_scalar, queries_state  # they register their own

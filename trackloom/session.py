@@ -1,12 +1,13 @@
-"""The package's source on the executors."""
+"""The package's source on the executors, and tables written between the stages of a plan."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +27,25 @@ def ship(spark: SparkSession) -> None:
                     z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(root)))
     spark.sparkContext.addPyFile(at)
     _SHIPPED.add(app)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder's path in the one that all machines share (``spark.checkpoint.dir``).  Where that is unset, a local
+    session uses a temporary one; on a cluster that is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set, and {master} needs a folder that all machines share")
+        at = f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+        spark.sparkContext.setCheckpointDir(at)
+    return f"{at.rstrip('/')}/trackloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back: a stage that several later ones read is computed once, and
+    a lost executor costs a reread."""
+    at = folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
