@@ -162,7 +162,7 @@ def anchor_rank_w5(s):
 @query(_LEADERS + """SELECT grp, offset_s, members::BIGINT AS members, (total - members)::BIGINT AS conflicts,
   CASE WHEN total > members THEN 'review_required' WHEN members > 1 OR points > 0 THEN 'high' ELSE 'medium' END AS confidence FROM won""")
 def consensus_cluster_a13(s):
-    return cluster.consensus(_candidates(s))
+    return cluster.consensus(_candidates(s)).drop("lead")
 
 
 @query(_LEADERS + "SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY members DESC, offset_s) AS position, offset_s, members::BIGINT AS members FROM clusters")
