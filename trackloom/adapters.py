@@ -76,10 +76,10 @@ FROM (SELECT doc_id, coalesce(cast(n_chars AS BIGINT), 0) AS size, 1700000000000
   CASE WHEN doc_id % 7 = 0 THEN size + 1 ELSE size END AS md_size, CASE WHEN doc_id % 13 = 0 THEN mtime_ns + 1 ELSE mtime_ns END AS md_mtime_ns, CASE WHEN doc_id % 31 = 0 THEN NULL ELSE fp END AS md_fp FROM {inv} WHERE doc_id % 10 <> 0""",
     # Photos of the handoff, renames that were planned for them, and a library that holds some of their targets.
     "handoff": "SELECT doc_id, path, folder, fp, class, size, mtime_ns FROM {inv} WHERE top = 'by-dest' AND class IN ('image', 'raw') AND fp IS NOT NULL",
-    "renames": "SELECT fp, max('2024-01-' || lpad(cast(1 + doc_id % 9 AS STRING), 2, '0') || CASE WHEN doc_id % 2 = 0 THEN '.jpg' ELSE '.JPG' END) AS new_name FROM {handoff} WHERE doc_id % 3 <> 0 GROUP BY fp",
-    "library": """SELECT lib_dest, name, max(fp) AS fp, max(readable) AS readable FROM (
-  SELECT substr(h.folder, 9) AS lib_dest, CASE WHEN h.doc_id % 4 = 0 THEN upper(coalesce(r.new_name, h.path)) ELSE coalesce(r.new_name, element_at(split(h.path, '/'), -1)) END AS name,
-    CASE WHEN h.doc_id % 5 = 0 THEN h.fp ELSE 'other' END AS fp, h.doc_id % 13 <> 1 AS readable FROM {handoff} AS h LEFT JOIN {renames} AS r ON r.fp = h.fp WHERE h.doc_id % 2 = 0) AS x GROUP BY lib_dest, name""",
+    "renames": "SELECT fp, max('2024-01-' || lpad(cast(1 + cast(floor(doc_id / 45) AS BIGINT) % 12 AS STRING), 2, '0') || CASE WHEN doc_id % 7 < 4 THEN '.jpg' ELSE '.JPG' END) AS new_name FROM {handoff} WHERE doc_id % 5 <> 0 GROUP BY fp",
+    "library": """SELECT lib_dest, name, max(fp) AS fp, min(readable) AS readable FROM (
+  SELECT substr(h.folder, 9) AS lib_dest, CASE WHEN h.doc_id % 8 = 0 THEN upper(coalesce(r.new_name, h.path)) ELSE coalesce(r.new_name, element_at(split(h.path, '/'), -1)) END AS name,
+    CASE WHEN h.doc_id % 8 = 2 THEN h.fp ELSE 'other' END AS fp, h.doc_id % 8 <> 6 AS readable FROM {handoff} AS h LEFT JOIN {renames} AS r ON r.fp = h.fp WHERE h.doc_id % 2 = 0) AS x GROUP BY lib_dest, name""",
     # Operations of a plan, what a journal says of them, and their order.
     "ops": """SELECT l_orderkey * 10 + l_linenumber AS op, l_partkey AS item, l_orderkey % 100 AS dest, CASE l_returnflag WHEN 'A' THEN 'move' WHEN 'N' THEN 'rename' ELSE 'quarantine' END AS kind, l_linestatus AS state FROM {lineitem}""",
     "results": """SELECT op, CASE WHEN op % 7 = 0 THEN 'failed' WHEN op % 5 = 0 THEN 'skipped' WHEN op % 11 = 0 THEN 'mismatch' ELSE 'applied' END AS result FROM {ops} WHERE op % 13 <> 0""",

@@ -466,14 +466,6 @@ def suffix_alloc_w2(s):
     return naming.allocate_names(i, s.names().where("p_partkey % 2 = 0").select("dir", "name")).select("dir", F.col("path").cast("long").alias("path"), "name")
 
 
-@query(with_("names") + ", i AS (SELECT p_partkey, dir, lower(name) AS k, name FROM names), l AS (SELECT dir, k, count(*) AS c FROM i WHERE p_partkey % 2 = 0 GROUP BY ALL) SELECT i.p_partkey, i.name, CASE WHEN l.k IS NULL THEN 'placed_new' WHEN c = 1 THEN 'already_present' ELSE 'renamed_incoming' END AS disposition FROM i LEFT JOIN l ON l.dir = i.dir AND l.k = i.k WHERE i.p_partkey % 2 = 1")
-def merge_disposition_f26(s):
-    i = s.names().withColumn("k", F.lower("name"))
-    lib = i.where("p_partkey % 2 = 0").groupBy("dir", "k").agg(F.count("*").alias("c"))
-    got = i.where("p_partkey % 2 = 1").join(lib, ["dir", "k"], "left")
-    return got.select("p_partkey", "name", F.when(F.col("c").isNull(), "placed_new").when(F.col("c") == 1, "already_present").otherwise("renamed_incoming").alias("disposition"))
-
-
 @query("SELECT p_partkey, coalesce(nullif(concat_ws('|', trim(p_brand), trim(p_type), CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR END), ''), 'unknown') AS camera FROM part")
 def camera_key_x17(s):
     return s.part.select("p_partkey", scalar.camera_key(F.col("p_brand"), F.col("p_type"), F.expr("CASE WHEN p_size % 2 = 0 THEN cast(p_size AS STRING) END")).alias("camera"))
