@@ -1,4 +1,9 @@
-"""Literal cases of the operators."""
+"""Operators against plain versions of their rules on generated cases."""
+
+import itertools
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,78 +13,155 @@ from trackloom.operators import asof, cluster, naming, relational, spatial
 from trackloom.sources import gpx
 
 TRACK = "t long, lat double, lon double, file string, idx int"
-NOON = 12 * 3600
-
-
-def placed(spark, points, t, **gates):
-    gates = {"direct": 60, "gap": 120, "distance": 1000, "speed": 150, "reach": 120} | gates
-    track = spark.createDataFrame([(p[0], p[1], p[2], "a", i) for i, p in enumerate(points)], TRACK)
-    items = spark.createDataFrame([("x", t)], "path string, t long")
-    r = asof.place(items, track, **gates).collect()[0]
-    return r.method, r.lat, r.lon
-
-
-@pytest.mark.parametrize(
-    ("points", "t", "gates", "want"),
-    [
-        ([(NOON, 50.0, 4.0), (NOON + 3600, 51.0, 5.0)], NOON + 60, {}, ("direct", 50.0, 4.0)),
-        ([(NOON, 50.0, 4.0), (NOON + 3600, 51.0, 5.0)], NOON + 61, {}, ("blocked", None, None)),
-        ([(NOON, 50.0, 4.0), (NOON + 100, 50.0, 4.002)], NOON + 50, {"direct": 5}, ("interpolated", 50.0, 4.001)),
-        ([(NOON, 50.0, 4.0), (NOON + 300, 50.0, 4.0001)], NOON + 120, {"direct": 1}, ("blocked", None, None)),
-        ([(NOON, 50.0, 4.0), (NOON + 90, 50.1, 4.0)], NOON + 45, {"direct": 1}, ("blocked", None, None)),
-        ([(NOON, 50.0, 4.0), (NOON + 30, 50.0, 4.005)], NOON + 15, {"direct": 1, "speed": 5}, ("blocked", None, None)),
-        ([(NOON, 50.0, 4.0), (NOON + 60, 50.0, 4.001)], NOON + 150, {}, ("extrapolated", 50.0, 4.0025)),
-        ([(NOON, 50.0, 4.0)], NOON + 90, {}, ("extrapolated", 50.0, 4.0)),
-        ([(NOON, 50.0, 4.0), (NOON, 50.0, 4.0)], NOON + 90, {}, ("extrapolated", 50.0, 4.0)),
-        ([(NOON + 300, 50.0, 4.0), (NOON + 360, 50.0, 4.001)], NOON, {}, ("blocked", None, None)),
-    ],
-)
-def test_place(spark, points, t, gates, want):
-    assert placed(spark, points, t, **gates) == want
-
-
-def test_place_without_track(spark):
-    assert placed(spark, [], NOON) == ("blocked", None, None)
-
-
-def test_bracket_carries_over_empty_buckets(spark):
-    track = spark.createDataFrame([(10, 1.0, 1.0, "a", 0), (900_000, 2.0, 2.0, "a", 1)], TRACK)
-    items = spark.createDataFrame([("x", 500_000), ("y", 5), ("z", 2_000_000)], "path string, t long")
-    got = {r.path: (r.before and r.before.idx, r.after and r.after.idx) for r in asof.bracket(items, track).collect()}
-    assert got == {"x": (0, 1), "y": (None, 0), "z": (1, None)}
-
-
-@pytest.mark.parametrize(("text", "want"), [("+02:00", 7200), ("-05:30", -19800), ("xx", None), ("+2:00", None), ("", None), (None, None), ("+0200", None), ("+ab:cd", None), ("+123456", None)])
-def test_iso_offset(spark, text, want):
-    assert spark.range(1).select(scalar.iso_offset(F.lit(text).cast("string"))).first()[0] == want
+SHIFTS = {"direct": 7, "gap": 90, "distance": 400, "speed": 40, "reach": 50}
+
+
+def metres(a, b):
+    (la, oa), (lb, ob) = ((math.radians(x) for x in p) for p in (a, b))
+    h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((ob - oa) / 2) ** 2
+    return 2 * 6_371_000 * math.asin(min(1, math.sqrt(h)))
+
+
+def placed_by_hand(track, t, direct, gap, distance, speed, reach):
+    """A photo's place from a sorted list of points ``(t, file, idx, lat, lon)``."""
+    before, after = [p for p in track if p[0] <= t], [p for p in track if p[0] > t]
+    b, a = (before[-1] if before else None), (after[0] if after else None)
+    near = min((p for p in (b, a) if p), key=lambda p: (abs(p[0] - t), p[0]), default=None)
+    if near and abs(near[0] - t) <= direct:
+        return "direct", near[3], near[4], near[1]
+
+    def line(p, q):
+        share = (t - p[0]) / (q[0] - p[0])
+        return round(p[3] + share * (q[3] - p[3]), 6), round(p[4] + share * (q[4] - p[4]), 6)
+
+    if b and a:
+        far, span = metres(b[3:], a[3:]), a[0] - b[0]
+        return ("interpolated", *line(b, a), b[1]) if span <= gap and far <= distance and far / span * 3.6 <= speed else ("blocked", None, None, None)
+    end, beside = (track[-1], track[-2:-1]) if b else (track[0], track[1:2]) if a else (None, None)
+    if end is None or abs(t - end[0]) > reach:
+        return "blocked", None, None, None
+    if not beside or beside[0][0] == end[0]:
+        return "extrapolated", round(end[3], 6), round(end[4], 6), end[1]
+    return ("extrapolated", *line(beside[0], end), end[1])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_place_against_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    n = (0, 1, 2, 12, 40, 40)[seed]
+    times = sorted(rng.choice((rng.randrange(900), rng.randrange(0, 900, 60))) for _ in range(n))
+    points, lat, lon = [], 48.1234567, 11.7654321
+    for i, t in enumerate(times):
+        lat, lon = lat + rng.uniform(-0.002, 0.002), lon + rng.uniform(-0.002, 0.002)
+        points.append((t, lat, lon, f"f{i % 3}", i))
+    items = [(f"p{t}", t) for t in range(-80, 1000, 9)]
+    track = spark.createDataFrame(points, TRACK)
+    got = {r.path: (r.method, r.lat, r.lon, r.gpx_file) for r in asof.place(spark.createDataFrame(items, "path string, t long"), track, **SHIFTS).collect()}
+    plain = sorted((t, f, i, la, lo) for t, la, lo, f, i in points)
+    for path, t in items:
+        want = placed_by_hand(plain, t, **SHIFTS)
+        assert got[path][0] == want[0] and got[path][3] == want[3], (path, got[path], want)
+        assert got[path][1:3] == (pytest.approx(want[1], abs=1.5e-6), pytest.approx(want[2], abs=1.5e-6)) if want[1] is not None else got[path][1:3] == (None, None)
+
+
+@pytest.mark.parametrize("rows", [3, 1000])
+def test_brackets_and_segments_of_busy_days(spark, monkeypatch, rows):
+    """Days are cut into buckets of three rows, or hardly; the result is that of one sorted list."""
+    monkeypatch.setattr(asof, "BUCKET_ROWS", rows)
+    rng = random.Random(rows)
+    points = [(rng.choice((rng.randrange(90_000), 5_000_000 + rng.randrange(3))), 0.0, 0.0, "a", i) for i in range(60)]
+    items = [("x", 500_000), ("y", -5), ("z", 9_000_000), *((f"i{k}", rng.randrange(90_000)) for k in range(40))]
+    plain = sorted((t, f, i) for t, _, _, f, i in points)
+    track = spark.createDataFrame(points, TRACK)
+    got = {r.path: (r.before and r.before.idx, r.after and r.after.idx) for r in asof.bracket(spark.createDataFrame(items, "path string, t long"), track, rows_per_bucket=rows).collect()}
+    want = {p: (max((x for x in plain if x[0] <= t), default=(0, 0, None))[2], min((x for x in plain if x[0] > t), default=(0, 0, None))[2]) for p, t in items}
+    assert got == want
+    pairs = sorted((r.a.idx, r.b.idx) for r in spatial.segments(track).collect())
+    assert pairs == sorted((a[2], b[2]) for a, b in itertools.pairwise(plain))
+
+
+def test_iso_offset(spark):
+    rng = random.Random(1)
+    texts = {f"{s}{h:02d}:{m:02d}{tail}": (1 if s == "+" else -1) * (h * 60 + m) * 60 for s in "+-" for tail in ("", ":17") for h, m in ((rng.randrange(15), rng.randrange(60)) for _ in range(6))}
+    texts |= dict.fromkeys(["7:15", "+7:15", "Z", "--01:00", "+01-30", " +01:30", "UTC+01:30"])
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", scalar.iso_offset(F.col("text")).alias("s"))
+    assert {r.text: r.s for r in rows.collect()} == texts
 
 
 def test_haversine(spark):
-    assert spark.range(1).select(scalar.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.001))).first()[0] == pytest.approx(111.19, abs=0.5)
-
-
-@pytest.mark.parametrize(("stem", "want"), [("foo-001", "foo"), ("2024-07-03--14-12-21", "2024-07-03--14-12-21"), ("2024-07-03--14-12-21-001", "2024-07-03--14-12-21")])
-def test_suffix_root(spark, stem, want):
-    assert spark.range(1).select(scalar.suffix_root(F.lit(stem))).first()[0] == want
-
-
-def test_allocate():
-    occupied = set()
-    assert [naming.allocate("ts", "jpg", occupied) for _ in range(2)] == ["ts.jpg", "ts-001.jpg"]
-    assert naming.allocate("Photo", "JPG", {"photo-001.jpg", "photo.jpg"}) == "Photo-002.JPG"
-    assert naming.allocate("x", "tif", set(), start=5, bare_first=False) == "x-005.tif"
-    assert naming.allocate("name", "arw", set(), bare_first=False) == "name-001.arw"
-
-
-def test_allocate_names_against_existing(spark):
-    incoming = spark.createDataFrame([("d", "a", "STAMP", "JPG"), ("d", "b", "stamp", "jpg"), ("d", "c", "x", "")], "dir string, path string, base string, ext string")
-    existing = spark.createDataFrame([("d", "stamp.jpg"), ("d", "stamp-001.jpg")], "dir string, name string")
-    assert {r.path: r.name for r in naming.allocate_names(incoming, existing).collect()} == {"a": "STAMP-002.JPG", "b": "stamp-003.jpg", "c": "x"}
-
-
-def test_max_suffix(spark):
-    names = spark.createDataFrame([("d", n) for n in ("foo.jpg", "foo-001.jpg", "FOO-003.jpg", "bar-009.jpg", "baz.jpg")], "dir string, name string")
-    assert {r.root: r.top for r in naming.max_suffix(names).collect()} == {"foo": 3, "bar": 9, "baz": 0}
+    rng = random.Random(2)
+    pairs = [tuple(rng.uniform(-x, x) for x in (89, 179, 89, 179)) for _ in range(30)]
+    rows = spark.createDataFrame(pairs, "a double, b double, c double, d double").select("*", scalar.haversine(*map(F.col, "abcd")).alias("m")).collect()
+    assert all(r.m == pytest.approx(metres((r.a, r.b), (r.c, r.d)), rel=1e-6) for r in rows)
+
+
+def free_names(incoming, existing):
+    """Every incoming item, in the order of paths, takes the first name of its own series that nobody has."""
+    taken = {n.lower() for n in existing}
+    wanted = {(b + ("." + e if e else "")).lower() for _, b, e in incoming}
+    out = {}
+    for path, base, ext in sorted(incoming):
+        dot = "." + ext if ext else ""
+        series = (f"{base}{'' if n == 0 else f'-{n:03d}'}{dot}" for n in itertools.count())
+        own = (base + dot).lower()
+        out[path] = next(x for x in series if x.lower() not in taken and (x.lower() == own or x.lower() not in wanted))
+        taken.add(out[path].lower())
+    return out
+
+
+def test_names_against_a_plain_version(spark):
+    rng = random.Random(3)
+    for _ in range(4):
+        bases, exts = ["Kiel", "kiel", "ulm", "ulm-004", "x-1", "y"], ["png", "PNG", ""]
+        incoming = [(f"{i:03d}", rng.choice(bases), rng.choice(exts)) for i in range(70)]
+        existing = [f"{rng.choice(bases)}{rng.choice(['', '-001', '-002', '-007', '-0003', '-12'])}{rng.choice(['.png', '', '.jpg'])}" for _ in range(12)]
+        rows = spark.createDataFrame([("d", *r) for r in incoming], "dir string, path string, base string, ext string")
+        names = spark.createDataFrame([("d", n) for n in existing] + [("other", "Kiel.png")], "dir string, name string")
+        assert {r.path: r.name for r in naming.allocate_names(rows, names).collect()} == free_names(incoming, existing)
+
+
+def test_many_items_of_one_name(spark):
+    """A third of a million items want one name; the numbers taken before are skipped."""
+    n = 300_000
+    rows = spark.range(n).selectExpr("'d' AS dir", "lpad(cast(id AS STRING), 9, '0') AS path", "'a' AS base", "'b' AS ext")
+    names = spark.range(0, 3 * n, 3).selectExpr("'d' AS dir", "concat('a-', lpad(cast(id AS STRING), greatest(3, length(cast(id AS STRING))), '0'), '.b') AS name")
+    got = naming.allocate_names(rows, names).agg(F.count_distinct("name").alias("n"), F.max(F.struct("path", "name")).alias("m")).first()
+    assert got.n == n and got.m.name == f"a-{(n - 1) + (n - 1) // 2}.b"
+
+
+def test_suffixes(spark):
+    rng = random.Random(4)
+    names = [f"{rng.choice(['Rom', 'rom', 'bari-12'])}{rng.choice(['', '-003', '-1042', '-77'])}.png" for _ in range(30)]
+    top = {}
+    for n in names:
+        root, number = re.fullmatch(r"(.*?)(?:-(\d{3,}))?", n.lower().removesuffix(".png")).groups()
+        top[root] = max(top.get(root, 0), int(number or 0))
+    rows = spark.createDataFrame([("d", n) for n in names], "dir string, name string")
+    assert {r.root: r.top for r in naming.max_suffix(rows).collect()} == top
+    new = naming.append_names(rows.limit(1).select("dir", F.lit("p").alias("path"), F.lit("ROM-003.gif").alias("name")), rows).first()
+    assert new.name == f"ROM-{top['rom'] + 1:03d}.gif"
+
+
+def test_keep_first_of_null_keys(spark):
+    rows = spark.createDataFrame([("b", None, 1), ("a", None, 1), ("c", "k", 2), ("d", "k", 1)], "path string, fp string, prio int")
+    got = {r.path: (r.retained, r.kept) for r in relational.keep_first(rows, ["fp"], [F.col("prio"), F.col("path")]).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("d", False), "d": ("d", True)}
+
+
+def test_nearest_points_around_the_globe(spark):
+    """Against all pairs, near the poles, at the date line and across cells."""
+    rng = random.Random(5)
+    spots = [(0.0, 0.0), (60.0, 179.9999), (60.0, -179.9999), (89.9995, 10.0), (-89.9995, -100.0), (51.0, 4.0)]
+    around = lambda lat, lon: (max(-90.0, min(90.0, lat + rng.uniform(-0.0008, 0.0008))), (lon + rng.uniform(-0.001, 0.001) + 180) % 360 - 180)
+    points = [(rng.randrange(4000), *around(*s), "f", 100 * k + i) for k, s in enumerate(spots) for i in range(25)]
+    frames = [(f"p{k}-{i}", rng.randrange(4000), *around(*s)) for k, s in enumerate(spots) for i in range(25)]
+    got = {r.path: (r.metres, r.point) for r in spatial.nearest_point(spark.createDataFrame(frames, "path string, t long, lat double, lon double"), spark.createDataFrame(points, TRACK), window=1000).collect()}
+    want = {}
+    for path, t, lat, lon in frames:
+        near = min(((metres((lat, lon), p[1:3]), p[0], p[4]) for p in points if abs(p[0] - t) <= 1000), default=(99, 0, 0))
+        if near[0] <= 50:
+            want[path] = (pytest.approx(near[0], abs=0.02), near[2])
+    assert len(want) > 30 and got == want
 
 
 def test_bijective_needs_one_on_each_side(spark):
@@ -88,17 +170,21 @@ def test_bijective_needs_one_on_each_side(spark):
     assert [(r.old_path, r.new_path) for r in relational.bijective(rows, new, ["k"]).collect()] == [("a", "x")]
 
 
-def test_consensus(spark):
-    def run(*rows):
-        df = spark.createDataFrame([("g", f"p{i}", k, m, o) for i, (k, m, o) in enumerate(rows)], "grp string, path string, kind string, metres double, offset_s long")
-        return [tuple(r)[1:] for r in cluster.consensus(df).collect()]
-
-    assert run(("point", 1.0, -7200)) == [(-7200, 1, 0, "high")]
-    assert run(("point", 1.0, -7200), ("point", 2.0, -7202)) == [(-7200, 2, 0, "high")]
-    assert run(("point", 1.0, -7200), ("point", 2.0, -18000)) == [(-7200, 1, 1, "review_required")]
-    assert run(("segment", 1.0, -7200)) == [(-7200, 1, 0, "medium")]
-    assert run(("point", 5.0, 3600), ("point", 4.0, 3600), ("point", 3.0, 3601), ("point", 1.0, 0)) == [(3601, 3, 1, "review_required")]
-    assert run() == []
+def test_consensus_against_a_plain_version(spark):
+    rng = random.Random(6)
+    rows = [(g, f"{g}{i:02d}", rng.choice(["point", "segment"]), round(rng.uniform(0, 40), 1), rng.choice([0, 60, 119, 121, 240, 5000]) + rng.randrange(3)) for g in "abcdef" for i in range(rng.randrange(1, 25))]
+    want = {}
+    for g in {r[0] for r in rows}:
+        piles = []
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] != "point", r[3], r[1])):
+            pile = next((p for p in piles if abs(p[0][4] - r[4]) <= 120), None)
+            piles.append([r]) if pile is None else pile.append(r)
+        best = max(piles, key=len)
+        rest = sum(map(len, piles)) - len(best)
+        want[g] = (best[0][4], len(best), rest, "review_required" if rest else "high" if len(best) > 1 or best[0][2] == "point" else "medium", best[0][1])
+    df = spark.createDataFrame(rows, "grp string, path string, kind string, metres double, offset_s long")
+    assert {r.grp: tuple(r)[1:] for r in cluster.consensus(df).collect()} == want
+    assert cluster.consensus(df.limit(0)).collect() == []
 
 
 def test_clobber(spark):

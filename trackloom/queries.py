@@ -328,11 +328,6 @@ def leftover_split_f2(s):
     return p.select("path", base.alias("base")).where((F.col("base") != "") & (scalar.media_class(F.col("base"), CLASSES) != "other"))
 
 
-@query(with_("files") + "SELECT path FROM files WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('txt', 'xmp')")
-def sidecar_filter_f3(s):
-    return s.files().where(scalar.extension(F.col("path")).isin("txt", "xmp")).select("path")
-
-
 _REASON = "CASE WHEN c_size IS NULL THEN 'new' WHEN c_size <> size THEN 'size' WHEN engine <> 2 THEN 'engine' ELSE 'fresh' END"
 
 
@@ -396,13 +391,6 @@ def content_groups_a1(s):
     return s.files().groupBy("fp", scalar.media_class(F.col("path"), CLASSES).alias("class")).agg(F.count("*").alias("n"), F.min("path").alias("least")).where("n > 1")
 
 
-@query(with_("files") + ", g AS (SELECT split_part(path, '/', 2) AS folder, doc_id // 2 AS stem, count(*) AS n FROM files GROUP BY ALL HAVING bool_or(ends_with(path, '.arw')) AND bool_or(ends_with(path, '.JPG'))) SELECT folder, stem, n FROM g")
-def raw_jpg_pair_a12(s):
-    f = s.files().withColumn("folder", F.element_at(F.split("path", "/"), 2)).withColumn("stem", F.expr("doc_id div 2"))
-    g = f.groupBy("folder", "stem").agg(F.count("*").alias("n"), F.bool_or(F.col("path").endswith(".arw")).alias("r"), F.bool_or(F.col("path").endswith(".JPG")).alias("j"))
-    return g.where("r and j").select("folder", "stem", "n")
-
-
 @query(with_("files") + "SELECT sum(size)::BIGINT AS bytes, count(*) AS n, count(DISTINCT prio) AS folders, min(path) AS least, max(path) AS most FROM files WHERE prio > 2")
 def footprint_a9(s):
     return s.files().where("prio > 2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.count_distinct("prio").alias("folders"), F.min("path").alias("least"), F.max("path").alias("most"))

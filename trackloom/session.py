@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,18 +31,31 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder's path in the one that all machines share (``spark.checkpoint.dir``).  Where that is unset, a local
-    session uses a temporary one; on a cluster that is an error."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share, as the session names it (``spark.checkpoint.dir``).  Where that is unset, a
+    local session gets a temporary one, deleted when Python ends; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"spark.checkpoint.dir is not set, and {master} needs a folder that all machines share")
-        at = f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
+        own = tempfile.mkdtemp(prefix="trackloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
-    return f"{at.rstrip('/')}/trackloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}"
+    return at.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str = "stage") -> str:
+    """A new folder's path among the application's scratch tables."""
+    return f"{shared_dir(spark)}/trackloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the application's scratch tables, once its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/trackloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
