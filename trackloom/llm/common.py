@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -11,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import folder, ship
 
 
 def on_group(fn: Callable, **fixed) -> Callable:
@@ -28,30 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    It is read from ``spark.checkpoint.dir``.  Where that is unset, a local
-    session gets a folder of its own; on a cluster, whose machines do not share
-    such a folder, that is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"spark.checkpoint.dir is not set, and {master} needs a folder that all machines share")
-        at = f"file://{tempfile.mkdtemp(prefix='trackloom-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 #: Scratch paths made in the scopes that are open, the innermost last.
 _SCOPES: list[list[str]] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/trackloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = folder(spark, name)
     for scope in _SCOPES:
         scope.append(path)
     return path
