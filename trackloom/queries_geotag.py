@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from . import queries as base
@@ -118,36 +120,67 @@ def _cells(s, shots, matches):
 
 
 class Stages:
-    """The stages of the whole decision, each written once."""
+    """The stages of the whole decision: artifacts that are written once and that later stages, and later queries of the
+    session over the same unchanged input, read."""
+
+    kept: dict[tuple, Stages] = {}
 
     def __init__(self, s):
         self.s, self.shots, self.track = s, _shots(s), s.track()
-        self.matches = cut(_matches(s))
-        self.zoned = cut(_zoned(s, "Europe/Brussels"))
-        self.cells = cut(_cells(s, self.shots, self.matches))
 
+    @classmethod
+    def of(cls, s) -> Stages:
+        path = s.spark._jvm.org.apache.hadoop.fs.Path(f"{s.dir}/events.parquet")
+        status = path.getFileSystem(s.spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        key = (s.spark.sparkContext.applicationId, s.dir, status.getModificationTime(), status.getLen())
+        return cls.kept.setdefault(key, cls(s))
+
+    @cached_property
+    def matches(self):
+        return cut(_matches(self.s))
+
+    @cached_property
+    def zoned(self):
+        return cut(_zoned(self.s, "Europe/Brussels"))
+
+    @cached_property
+    def cells(self):
+        return cut(_cells(self.s, self.shots, self.matches))
+
+    @cached_property
     def drift(self):
         first = decisions.resolve(self.shots, self.cells, self.zoned)
         keys = decisions.buckets(self.shots).select("dest", "bucket").distinct()
         prior = self.s.spark.sql(_PRIOR_DRIFT, keys=keys).selectExpr("dest", "bucket", "confirmed", "cast(corrected_s AS BIGINT) AS corrected_s")
-        return decisions.drift(self.shots, self.matches, self.cells, first, self.track, prior)
+        return cut(decisions.drift(self.shots, self.matches, self.cells, first, self.track, prior))
 
+    @cached_property
     def resolved(self):
-        return decisions.resolve(self.shots, self.cells, self.zoned, self.drift().where("corrected IS NOT NULL"))
+        return cut(decisions.resolve(self.shots, self.cells, self.zoned, self.drift.where("corrected IS NOT NULL")))
 
+    @cached_property
     def decided(self):
         reviews = self.s.spark.sql(_REVIEWS, shots=self.shots)
-        return decisions.gps(cut(self.resolved()), self.track, _fallback(self.s), reviews)
+        return cut(decisions.gps(self.resolved, self.track, _fallback(self.s), reviews))
+
+    @cached_property
+    def renames(self):
+        return cut(execution.rename_plan(self.s.spark.sql(_NAMED, res=self.resolved)))
+
+    @cached_property
+    def operations(self):
+        ops = execution.file_operations(self.decided, self.renames)
+        return cut(ops.union(execution.reverts(self.decided, _ledger(self.s, self.shots))))
 
 
 @query(_CELLS + " SELECT * FROM cells")
 def offset_cells_f13(s):
-    return _cells(s, _shots(s), cut(_matches(s)))
+    return Stages.of(s).cells
 
 
 @query(_CELLS + """ SELECT 'zones' AS part, count(*) AS n, count(*) FILTER (requires) AS open, count(*) FILTER (bad) AS bad FROM zoned UNION ALL SELECT 'offsets', count(*), count(*) FILTER (requires), count(*) FILTER (bad) FROM cells""")
 def time_decisions_c2(s):
-    st = Stages(s)
+    st = Stages.of(s)
     n = [F.count("*").alias("n"), F.count_if("requires").alias("open"), F.count_if("bad").alias("bad")]
     return st.zoned.agg(*n).select(F.lit("zones").alias("part"), "*").union(st.cells.agg(*n).select(F.lit("offsets"), "*"))
 
@@ -175,12 +208,12 @@ dr AS (SELECT dest, bucket, corrected FROM drifts WHERE corrected IS NOT NULL)""
 
 @query(_DRIFT + " SELECT * FROM drifts")
 def drift_cells_f14(s):
-    return Stages(s).drift()
+    return Stages.of(s).drift
 
 
 @query(_CELLS + _resolved_sql("r0", "NULL::BIGINT") + " SELECT path, utc, rule, used, provenance FROM r0")
 def resolved_times_j14(s):
-    st = Stages(s)
+    st = Stages.of(s)
     return decisions.resolve(st.shots, st.cells, st.zoned).select("path", "utc", "rule", "used", "provenance")
 
 
@@ -189,7 +222,7 @@ _RESOLVED = _DRIFT + _resolved_sql("res", "dr.corrected")
 
 @query(_RESOLVED + " SELECT path, utc, used, provenance FROM res")
 def validated_times_j15(s):
-    return Stages(s).resolved().select("path", "utc", "used", "provenance")
+    return Stages.of(s).resolved.select("path", "utc", "used", "provenance")
 
 
 @query(_MATCHED.replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT dest, bucket, bool_or(native AND path IN (SELECT path FROM cand)) AS anchored FROM bk GROUP BY dest, bucket")
@@ -211,7 +244,7 @@ def carried_decisions_j19(s):
 @query(_CELLS + """, g AS (SELECT dest, grp, coalesce(accept, false)::INT || '|' || coalesce(manual_s::VARCHAR, '') || '|' || coalesce(manual_utc, '') || '@' || coalesce(proposed::VARCHAR, 'none') AS signature, bucket FROM cells LEFT JOIN pc USING (dest, bucket))
 SELECT dest, grp, signature, count(*) AS days, string_agg(bucket, ',' ORDER BY bucket) AS buckets FROM g GROUP BY ALL""")
 def editor_rows_a18(s):
-    st = Stages(s)
+    st = Stages.of(s)
     keys = st.cells.select("dest", "bucket")
     prior = s.spark.sql(_PRIOR_CELLS, keys=keys)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -222,7 +255,7 @@ def editor_rows_a18(s):
 
 @query(_CELLS + " SELECT class AS kind, count(*) AS n FROM shots GROUP BY class UNION ALL SELECT 'open cells', count(*) FILTER (requires) FROM cells UNION ALL SELECT 'open zones', count(*) FILTER (requires) FROM zoned")
 def console_counts_a17(s):
-    st = Stages(s)
+    st = Stages.of(s)
     n = st.shots.groupBy(F.col("class").alias("kind")).agg(F.count("*").alias("n"))
     return n.union(st.cells.agg(F.count_if("requires")).select(F.lit("open cells"), "*")).union(st.zoned.agg(F.count_if("requires")).select(F.lit("open zones"), "*"))
 
@@ -259,17 +292,17 @@ decided AS (SELECT *, CASE category WHEN 'manual_locked' THEN manual_lat WHEN 'g
 
 @query(_GPS + " SELECT path, category, to_lat, to_lon, gpx_file FROM decided")
 def gps_decisions_f15(s):
-    return Stages(s).decided().select("path", "category", "to_lat", "to_lon", "gpx_file")
+    return Stages.of(s).decided.select("path", "category", "to_lat", "to_lon", "gpx_file")
 
 
 @query(_GPS + " SELECT dest, count(*) AS files, " + ", ".join(f"count(*) FILTER (category = '{k}') AS {k}" for k in decisions.GPS_CATEGORIES) + ", count(*) FILTER (category = 'blocked') AS to_review, coalesce(string_agg(DISTINCT gpx_file, ',' ORDER BY gpx_file), '') AS gpx_files FROM decided GROUP BY dest")
 def gps_decisions_c3(s):
-    return decisions.gps_summary(Stages(s).decided())
+    return decisions.gps_summary(Stages.of(s).decided)
 
 
 @query(_GPS + " SELECT path, CASE category WHEN 'manual_locked' THEN 'manual_locked' WHEN 'no_change' THEN 'accepted_unlocated' ELSE 'no_reliable_gps_source' END AS reason, category = 'blocked' AS requires FROM decided WHERE category IN ('manual_locked', 'no_change', 'blocked')")
 def review_items_f17(s):
-    return decisions.review_items(Stages(s).decided())
+    return decisions.review_items(Stages.of(s).decided)
 
 
 # --- the executable plan ---------------------------------------------------------------------
@@ -284,13 +317,9 @@ renames AS (SELECT wr.path, wr.name, CASE WHEN wr.rename THEN wr.base || CASE WH
   FROM wr LEFT JOIN rk ON rk.path = wr.path LEFT JOIN fr ON fr.dest = rk.dest AND fr.bare = lower(rk.base || '.' || rk.e) AND fr.r = rk.r)"""
 
 
-def _renames(s, resolved):
-    return execution.rename_plan(s.spark.sql(_NAMED, res=resolved))
-
-
 @query(_RENAMES + " SELECT path, name, new_name, rename FROM renames")
 def rename_plan_w4(s):
-    return _renames(s, cut(Stages(s).resolved()))
+    return Stages.of(s).renames.select("path", "name", "new_name", "rename")
 
 
 _LEDGER = "SELECT fp, min(path) AS path, max(t % 2 = 0) AS present, max(t % 90) AS lat FROM {shots} WHERE t % 3 = 0 GROUP BY fp"
@@ -310,10 +339,8 @@ def _ledger(s, shots):
 
 
 def _operations(s):
-    st = Stages(s)
-    decided = cut(st.decided())
-    ops = execution.file_operations(decided, _renames(s, decided))
-    return st, decided, cut(ops.union(execution.reverts(decided, _ledger(s, st.shots))))
+    st = Stages.of(s)
+    return st, st.decided, st.operations
 
 
 @query(_OPS + " SELECT path, kind, payload, substr(sha256(kind || chr(10) || path || chr(10) || payload), 1, 16) AS op_id FROM ops")
@@ -324,15 +351,14 @@ def executable_plan_c4(s):
 @query(_OPS + " SELECT path, kind, payload FROM ops WHERE kind = 'rename_no_clobber' OR kind LIKE '%gps%' AND kind <> 'revert_manual_gps'")
 def gated_operations_x22(s):
     """The policy writes no times."""
-    st = Stages(s)
-    decided = cut(st.decided())
-    return execution.file_operations(decided, _renames(s, decided), times=False).select("path", "kind", "payload")
+    st = Stages.of(s)
+    return execution.file_operations(st.decided, st.renames, times=False).select("path", "kind", "payload")
 
 
 @query(_OPS + " SELECT path, payload FROM ops WHERE kind = 'revert_manual_gps'")
 def reverts_j16(s):
-    st = Stages(s)
-    return execution.reverts(st.decided(), _ledger(s, st.shots)).select("path", "payload")
+    st = Stages.of(s)
+    return execution.reverts(st.decided, _ledger(s, st.shots)).select("path", "payload")
 
 
 @query(_OPS + """ SELECT fp, min(path) AS path, min_by(t % 2 = 0, path) AS present FROM shots WHERE path IN (SELECT path FROM ops WHERE kind = 'metadata_gps_write' AND payload LIKE '%apply_manual') AND fp NOT IN (SELECT fp FROM led) GROUP BY fp""")
@@ -351,11 +377,11 @@ def plan_counts_a7(s):
 
 @query(_RESOLVED + " SELECT path AS what, 'no valid time' AS reason FROM res WHERE utc IS NULL UNION ALL SELECT 'offsets', 'not complete' WHERE EXISTS (SELECT 1 FROM cells WHERE requires) UNION ALL SELECT 'drift', 'not complete' WHERE EXISTS (SELECT 1 FROM drifts WHERE requires)")
 def plan_blockers_f23(s):
-    st = Stages(s)
-    drift = st.drift()
+    st = Stages.of(s)
+    drift = st.drift
     done = lambda df, name: df.agg((F.count_if("requires") == 0).alias("complete")).select(F.lit(name).alias("name"), "complete")
     gates = done(st.zoned, "zones").union(done(st.cells, "offsets")).union(done(drift, "drift"))
-    return execution.blockers(st.resolved(), gates)
+    return execution.blockers(st.resolved, gates)
 
 
 _OLD = "SELECT DISTINCT fp, 0 AS seq, 'organized' AS action, 'by-date/' AS value FROM {shots} WHERE t % 2 = 0"
