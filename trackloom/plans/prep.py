@@ -200,3 +200,15 @@ def problems(moves: DataFrame, files: DataFrame) -> DataFrame:
     events = events.union(moves.select(F.lower("source"), "seq", F.lit(-1))).union(moves.select(F.lower("destination"), "seq", F.lit(1)))
     taken = relational.clobbers(events).where("seq >= 0").select("seq", F.lit("target is taken").alias("problem"))
     return simple.where("problem IS NOT NULL").union(taken).distinct()
+
+
+def executed(files: DataFrame, rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """The recorded rows ``(path, size, mtime_ns, fp)`` once the plan is carried out: rows of vanished and moved files go, a
+    moved file's row stands at its end (strays are not recorded), and what changed in place is written anew."""
+    facts = ["size", "mtime_ns", "fp"]
+    effects = cache_effects(files, rows, planned)
+    gone = effects.where("action = 'remove'").select("path").union(planned.where("step <> 'keep'").select("path"))
+    moved = planned.where("step NOT IN ('keep', 'stray')").select(F.col("final").alias("path"), *facts)
+    written = files.join(effects.where("action <> 'remove'").select("path"), "path", "left_semi").join(planned.where("step = 'keep'").select("path"), "path", "left_semi").select("path", *facts)
+    left = rows.select("path", *facts).join(gone, "path", "left_anti")
+    return relational.upsert(left, moved.union(written), "path")

@@ -7,12 +7,13 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from . import queries as base
+from . import sinks
 from .adapters import with_
 from .functions import rules
 from .operators import hierarchy, spatial
 from .plans import decisions, execution
 from .registry import query
-from .session import cut
+from .session import cut, folder
 
 # --- zones and fallback places ---------------------------------------------------------------
 
@@ -387,18 +388,30 @@ def plan_blockers_f23(s):
 _OLD = "SELECT DISTINCT fp, 0 AS seq, 'organized' AS action, 'by-date/' AS value FROM {shots} WHERE t % 2 = 0"
 
 
-@query(_OPS + ", old AS (" + _OLD.replace("{shots}", "shots") + """), st AS (SELECT fp, 0 AS run, '' AS path, seq, action, value FROM old
+_LOG = _OPS + ", old AS (" + _OLD.replace("{shots}", "shots") + """), st AS (SELECT fp, 0 AS run, '' AS path, seq, action, value FROM old
   UNION ALL SELECT fp, 1, path, 0, 'clock_offset_applied', used::VARCHAR FROM decided WHERE rule = 'camera_group_offset' UNION ALL SELECT fp, 1, path, 1, 'resolved_utc', utc::VARCHAR FROM decided WHERE utc IS NOT NULL
   UNION ALL SELECT fp, 1, path, 2, 'timezone_resolved', zone FROM decided WHERE zone IS NOT NULL UNION ALL SELECT fp, 1, d.path, 3, 'gps_reverted', payload FROM decided d JOIN ops o ON o.path = d.path AND kind = 'revert_manual_gps'
   UNION ALL SELECT fp, 1, d.path, 4, 'gps_written', payload FROM decided d JOIN ops o ON o.path = d.path AND kind = 'metadata_gps_write' WHERE NOT EXISTS (SELECT 1 FROM ops x WHERE x.path = d.path AND x.kind = 'revert_manual_gps')
   UNION ALL SELECT fp, 1, d.path, 5, 'gps_preserved', 'native' FROM decided d WHERE native AND NOT EXISTS (SELECT 1 FROM ops x WHERE x.path = d.path AND x.kind IN ('revert_manual_gps', 'metadata_gps_write'))
   UNION ALL SELECT fp, 1, d.path, 6, 'final_rename', payload FROM decided d JOIN ops o ON o.path = d.path AND kind = 'rename_no_clobber')
-SELECT fp, count(*) AS steps, string_agg(action || '=' || value, ';' ORDER BY run, path, seq) AS journey FROM st GROUP BY fp""")
+SELECT fp, count(*) AS steps, string_agg(action || '=' || value, ';' ORDER BY run, path, seq) AS journey FROM st GROUP BY fp"""
+
+
+@query(_LOG)
 def complete_log_j17(s):
     st, decided, ops = _operations(s)
     return execution.journeys(decided, ops, s.spark.sql(_OLD, shots=st.shots))
 
 
+@query("SELECT count(*) AS photos, sum(steps)::BIGINT AS steps, true AS snapshot_same FROM (" + _LOG + ")")
+def finalised_package_c11(s):
+    """The log of every photo, a verified snapshot of it, and what the package holds."""
+    st, decided, ops = _operations(s)
+    log = cut(execution.journeys(decided, ops, s.spark.sql(_OLD, shots=st.shots)))
+    same = sinks.snapshot(log, folder(s.spark, "package"))
+    return log.agg(F.count("*").alias("photos"), F.sum("steps").alias("steps")).withColumn("snapshot_same", F.lit(same))
+
+
 @query(with_("ops", "results") + """, c AS (SELECT dest, count(*) FILTER (result = 'applied') AS applied, count(*) FILTER (result = 'skipped') AS skipped, count(*) FILTER (result = 'failed') AS failed, count(*) FILTER (result = 'mismatch') AS mismatch, count(*) FILTER (result IS NULL) AS not_reached, grouping(dest) AS g FROM ops LEFT JOIN results USING (op) GROUP BY ROLLUP (dest))
 SELECT CASE WHEN g = 1 THEN 'total' ELSE dest::VARCHAR END AS dest, applied, skipped, failed, mismatch, not_reached, CASE WHEN failed + mismatch = 0 THEN 'success' WHEN mismatch > 0 OR applied > 0 OR skipped > 0 THEN 'partial' ELSE 'failed' END AS status FROM c""")
 def execution_summary_c9(s):

@@ -9,6 +9,7 @@ from .functions import scalar
 from .operators import relational
 from .plans import prep
 from .registry import query
+from .session import cut
 
 _INV = with_("inv", "rows")
 _FRESH = "(w.path IS NOT NULL AND w.md_size IS NOT DISTINCT FROM i.size AND w.md_mtime_ns IS NOT DISTINCT FROM i.mtime_ns AND (w.fp IS NULL OR w.md_fp IS NOT DISTINCT FROM w.fp) AND w.extractor = 'reader' AND w.extractor_version = '12.2' AND w.field_set = 3 AND w.options = 'o1' AND w.schema_version = 1 AND w.key_version = 2)"
@@ -231,3 +232,9 @@ def consume_k6(s):
     ledger = relational.first_write_wins(inv.where("doc_id % 4 = 0").groupBy("fp").agg(F.count("*").alias("n"), F.min("path").alias("path")), inv.where("doc_id % 4 = 1").groupBy("fp").agg(F.count("*").alias("n"), F.min("path").alias("path")), "fp")
     pinned = inv.where("doc_id % 4 = 0").select("fp").distinct()
     return ledger.join(ledger.join(pinned, "fp", "left_anti").select("fp"), "fp", "left_anti")
+
+
+@query(_FOUR + "SELECT final AS path, size, mtime_ns, fp FROM plan WHERE step <> 'stray'")
+def prep_execution_c8(s):
+    inv = s.rel("inv")
+    return prep.executed(inv, s.rel("rows"), cut(prep.plan(inv)))
