@@ -141,7 +141,9 @@ def test_no_rows_null_ids_and_repeated_rows(spark):
     assert got == [(3, 2, 3, 2), (3, 2, 3, 2), (None, 2, 3, 2)]
 
 
-def test_graph_components(spark):
+@pytest.mark.parametrize("nodes", [0, 10**6])
+def test_graph_components(spark, monkeypatch, nodes):
+    monkeypatch.setattr(common, "NODES", nodes)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in common.components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}

@@ -79,33 +79,49 @@ def small_or_shuffled(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(kept) if rows * 32 + sum(x or 0 for x in sizes) <= BROADCAST_BYTES else kept
 
 
+#: Edges of a graph up to which a row for each of its nodes (16 bytes; two nodes an edge at most) is broadcast: 16 MB.
+NODES = 500_000
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(u, v)`` as ``(node, root)``.
 
     ``root`` is the smallest node of the component.  Alternating large-star and
-    small-star steps; each is a minimum per node and a join, so a hub's
-    neighbours are never gathered in one task (adaptive execution splits a hub
-    in the join).  Null ends and self loops are ignored; no edges, no rows.
+    small-star steps; each is a minimum per node and a join.  The minima, a row
+    a node, are broadcast up to ``NODES`` edges, so a hub's edges stay where they
+    are; beyond that they are written first, so both sides of the join are
+    shuffles and adaptive execution splits a hub.  Null ends and self loops are
+    ignored; no edges, no rows.
     """
     now, path = saved(edges.where("u <> v").select("u", "v").distinct(), "edges")
     if now.isEmpty():
         remove(now.sparkSession, path)
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
-    state = None
+    state, number = None, now.count()
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        scratch: list[str] = []
+
+        def minima(df: DataFrame, number: int = number, scratch: list[str] = scratch) -> DataFrame:
+            if number <= NODES:
+                return F.broadcast(df)
+            kept, path = saved(df, "minima")
+            scratch.append(path)
+            return kept
+
+        least = minima(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: large leaves every edge pointing from the larger end to the smaller.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = minima(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
         nxt, nxt_path = saved(small, "edges")
-        remove(now.sparkSession, path)
+        remove(now.sparkSession, path, *scratch)
         now, path = nxt, nxt_path
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        number = seen[0]
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

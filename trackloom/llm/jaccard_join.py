@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import components, on_group, remove, saved
+from .common import components, on_group, saved, scope, small_or_shuffled
 
 #: Bytes of text handled at once.
 BLOCK = 4_000_000
@@ -338,6 +338,8 @@ def _cells(joined: DataFrame, num: int, den: int) -> DataFrame:
     step = math.log(den / num)
     sized = joined.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9))
     groups = joined.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("total")).withColumn("small", (F.col("members") <= MEMBERS) & (F.col("total") <= CELL))
+    # A row a group, and a row a class of a large group: broadcast where small, so that a large group's sets are not dealt by it.
+    groups = small_or_shuffled(groups, "groups")
     members, total = groups.where("small").agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     buckets = max(4, math.ceil(members / (MEMBERS / 2)), math.ceil(total / (CELL / 2)))
     columns = ["key", "n", "copies", "shingles"]
@@ -345,6 +347,7 @@ def _cells(joined: DataFrame, num: int, den: int) -> DataFrame:
     small = tagged.where("small").select(F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(buckets)).cast("string")).alias("cell"), F.lit(True).alias("own"), F.lit(True).alias("within"), *columns)
     large = tagged.where("NOT small")
     blocks = large.groupBy("root", "class").agg(F.greatest(F.ceil(F.count("*") / (MEMBERS / 2)), F.ceil(F.sum("size") / (CELL / 2))).cast("long").alias("blocks"))
+    blocks = small_or_shuffled(blocks, "blocks")
     large = large.join(blocks, ["root", "class"]).withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")))
     # Both sides of a cell are named by class and block, the smaller name first; a set meets all blocks of its own and the neighbouring classes.
     other = blocks.select("root", F.col("class").alias("c"), F.col("blocks").alias("n_c"))
@@ -362,32 +365,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Eager: intermediate tables go to the shared folder.  ``docs`` is read twice.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scan, _ = saved(base.mapInArrow(partial(_scan, k=k), "doc_id long, n long, k1 long, k2 long, hot long, texts long"), "sets")
-    sets = scan.where("n is not null").select("doc_id", "n", "k1", "k2")
-    rows, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # The size bound: shingles in a share of all texts; their number is below the mean set's size divided by that share.
-    found = scan.where("hot is not null").groupBy("hot").agg(F.sum("texts").alias("c")).where(F.col("c") >= max(HOT_LEAST, rows * HOT_SHARE)).select("hot")
-    hot = np.sort(found.toArrow().column("hot").to_numpy().view(np.uint64))
-    cuts = max(4, math.ceil(total / FRAGMENT))
-    dealt = base.select("text").mapInArrow(partial(_deal, k=k, fragments=cuts, hot=hot), "dest long, keys binary, sizes binary, counts binary, shingles binary")
-    shared = dealt.groupBy("dest").applyInArrow(on_group(_shared, fragments=cuts, homes=cuts), "home long, keys binary, sizes binary, counts binary, shingles binary, dfs binary")
-    alive, alive_path = saved(shared.groupBy("home").applyInArrow(on_group(_survivors, num=num, den=den), "key long, n int, shingles binary, prefix binary"), "alive")
-
-    posts, posts_path = saved(alive.select("key", "prefix").mapInArrow(_postings, "shingle long, key long"), "prefix")
-    least = posts.groupBy("shingle").agg(F.min("key").alias("m"), F.max("key").alias("top")).where("m < top").select("shingle", "m")
-    chained = posts.join(least, "shingle").select(F.col("key").alias("u"), F.col("m").alias("v"))
-    groups = components(chained)
-    classes, classes_path = saved(sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    joined = alive.select("key", "n", "shingles", (F.length("shingles") / 8).cast("long").alias("size")).join(groups.withColumnRenamed("node", "key"), "key")
-    joined = joined.join(classes.groupBy(F.col("k1").alias("key")).agg(F.sum("copies").alias("copies")), "key")
-    links, links_path = saved(_cells(joined, num, den).groupBy("cell").applyInArrow(on_group(_overlaps, num=num, den=den), "u long, v long, docs long"), "links")
-    degrees = links.where("v is null").groupBy(F.col("u").alias("k1")).agg(F.sum("docs").alias("docs"))
-
-    roots = components(links.where("v is not null").select("u", "v")).withColumnRenamed("node", "k1")
-    named = classes.join(roots, "k1", "left").join(degrees, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
-    least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named, _ = saved(named.join(least_id, "root").select("n", "k1", "k2", "component_id", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
-    remove(spark, alive_path, posts_path, links_path, classes_path)
+    # Of the tables written on the way only the two that the result reads are kept.
+    with scope(spark) as made:
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        scan, scan_path = saved(base.mapInArrow(partial(_scan, k=k), "doc_id long, n long, k1 long, k2 long, hot long, texts long"), "sets")
+        sets = scan.where("n is not null").select("doc_id", "n", "k1", "k2")
+        rows, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        # The size bound: shingles in a share of all texts; their number is below the mean set's size divided by that share.
+        found = scan.where("hot is not null").groupBy("hot").agg(F.sum("texts").alias("c")).where(F.col("c") >= max(HOT_LEAST, rows * HOT_SHARE)).select("hot")
+        hot = np.sort(found.toArrow().column("hot").to_numpy().view(np.uint64))
+        cuts = max(4, math.ceil(total / FRAGMENT))
+        dealt = base.select("text").mapInArrow(partial(_deal, k=k, fragments=cuts, hot=hot), "dest long, keys binary, sizes binary, counts binary, shingles binary")
+        shared = dealt.groupBy("dest").applyInArrow(on_group(_shared, fragments=cuts, homes=cuts), "home long, keys binary, sizes binary, counts binary, shingles binary, dfs binary")
+        alive, _ = saved(shared.groupBy("home").applyInArrow(on_group(_survivors, num=num, den=den), "key long, n int, shingles binary, prefix binary"), "alive")
+
+        posts, _ = saved(alive.select("key", "prefix").mapInArrow(_postings, "shingle long, key long"), "prefix")
+        least = posts.groupBy("shingle").agg(F.min("key").alias("m"), F.max("key").alias("top")).where("m < top").select("shingle", "m")
+        chained = posts.join(least, "shingle").select(F.col("key").alias("u"), F.col("m").alias("v"))
+        groups = components(chained)
+        classes, _ = saved(sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+        joined = alive.select("key", "n", "shingles", (F.length("shingles") / 8).cast("long").alias("size")).join(groups.withColumnRenamed("node", "key"), "key")
+        joined = joined.join(classes.groupBy(F.col("k1").alias("key")).agg(F.sum("copies").alias("copies")), "key")
+        links, _ = saved(_cells(joined, num, den).groupBy("cell").applyInArrow(on_group(_overlaps, num=num, den=den), "u long, v long, docs long"), "links")
+        degrees = links.where("v is null").groupBy(F.col("u").alias("k1")).agg(F.sum("docs").alias("docs"))
+
+        roots = components(links.where("v is not null").select("u", "v")).withColumnRenamed("node", "k1")
+        named = classes.join(roots, "k1", "left").join(degrees, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+        least_id = small_or_shuffled(named.groupBy("root").agg(F.min("rep").alias("component_id")), "roots")
+        named, named_path = saved(named.join(least_id, "root").select("n", "k1", "k2", "component_id", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
+        made.remove(scan_path)
+        made.remove(named_path)
     full = sets.where("n > 0").join(named, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     return full.union(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
