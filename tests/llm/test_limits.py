@@ -237,6 +237,15 @@ def test_pages_empty_repeated_and_tied(spark):
     assert {(r.page_id, r.text) for r in html_main.extract(spark.createDataFrame(rows, PAGES)).collect()} in ({(1, "Same length."), (2, "Same length.")}, {(1, "Same length. Same length."), (2, "Same length. Same length.")})
 
 
+def test_rare_paths_of_a_large_host_have_no_say(spark):
+    """Two pages of 3,000 share a path that wins on both: too few to be the host's; they keep their own text all the same."""
+    rows = spark.range(3000).selectExpr("id AS page_id", "'http://big.example/' AS url", "CASE WHEN id < 2 THEN '<body><div class=rare><p>Rare words here.</p></div></body>' ELSE concat('<body><article><p>Page ', id, '</p></article></body>') END AS html")
+    won = html_main.consensus(rows).collect()
+    assert len(won) == 1 and won[0].voted == [won[0].path] and won[0].outvoted == []
+    got = {r.page_id: r.text for r in html_main.extract(rows).where("page_id < 3").collect()}
+    assert got == {0: "Rare words here.", 1: "Rare words here.", 2: "Page 2"}
+
+
 # --- urls, media, archives -------------------------------------------------------------------
 
 

@@ -8,7 +8,9 @@ name; lists and quotations are part of the container around them.  Each page
 votes for its best path, weighted by text, and tells which paths hold text on
 it; both are summed per host in Spark (partial sums first, so a hot host is a
 row a task).  A host's winning paths are the one of most weight and all that
-win on half of the pages that have them, on two at least.  Every page is then
+win on half of the pages that have them, on two at least; a path that stands on
+less than ``SHARE`` of the host's pages has no say, so a host has a bounded
+number of paths, however many pages it has.  Every page is then
 re-extracted from the winning path with the most text on it.  It uses its own
 best container instead if it has no text on a winning path, or less than half
 as much as there; but not if the host's pages outvote that container (it wins
@@ -45,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import url_filter
-from .common import small_or_shuffled
+from .common import saved, small_or_shuffled
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -71,6 +73,10 @@ DENY = {"with", "has", "no", "without", "not", "hide", "hidden"}
 _PART = re.compile(r"[_-]+")
 
 
+#: Share of a host's pages that a path must stand on.
+SHARE = 0.001
+
+
 def named(said: list[str]) -> tuple[int, bool]:
     """What a container's names say: 0, 1 (an aside) or 2 (readers' comments); and whether it is the article."""
     mark, article = 0, False
@@ -292,7 +298,11 @@ def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     on and on two at least, and those that win on fewer."""
     hosts = pages.select(url_filter.host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     votes = hosts.mapInArrow(_vote, "host string, path long, weight long, wins long, seen long")
-    summed = votes.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("weight", "wins", "seen"))).where("wins > 0")
+    # Written, so that pages are parsed once for both uses.
+    summed, _ = saved(votes.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("weight", "wins", "seen"))).where("wins > 0"), "votes")
+    # Every page with text wins for one path.
+    pages_of = summed.groupBy("host").agg(F.sum("wins").alias("pages"))
+    summed = summed.join(pages_of, "host").where(F.col("seen") >= F.col("pages") * SHARE)
 
     def those(which: str) -> F.Column:
         return F.sort_array(F.collect_list(F.expr(f"CASE WHEN {which} THEN path END")))
