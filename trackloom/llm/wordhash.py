@@ -118,7 +118,7 @@ def shingle_hashes(word_hash: np.ndarray, first: np.ndarray, k: int = 5) -> tupl
     """
     count = np.diff(first)
     n = len(word_hash)
-    rolled = np.full(n, U64(k) * _GOLD, dtype=U64)
+    rolled = np.full(n, k * int(_GOLD) % 2**64, dtype=U64)
     if n:
         for j in range(k):
             rolled[: n - j] = rolled[: n - j] * _MIX_B + word_hash[j:] if j < n else 0
