@@ -25,7 +25,8 @@ def bucketed(rows: DataFrame, sizes: DataFrame, t: str = "t", rows_per_bucket: i
     day = F.floor(F.col(t) / DAY)
     cut = rows.withColumn("_day", day).join(busy, "_day", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     part = F.floor((F.col(t) - F.col("_day") * DAY) * F.col("_parts") / DAY)
-    return cut.withColumn("bucket", F.struct(F.col("_day").alias("day"), part.alias("part"))).drop("_day", "_parts")
+    # A bucket is named by its first second, or one before it.
+    return cut.withColumn("bucket", F.col("_day") * DAY + F.floor(part * DAY / F.col("_parts"))).drop("_day", "_parts")
 
 
 def bracket(items: DataFrame, track: DataFrame, rows_per_bucket: int = BUCKET_ROWS) -> DataFrame:
