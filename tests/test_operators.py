@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,16 @@ def test_place_against_a_plain_version(spark, seed):
         assert got[path][1:3] == (pytest.approx(want[1], abs=1.5e-6), pytest.approx(want[2], abs=1.5e-6)) if want[1] is not None else got[path][1:3] == (None, None)
 
 
+def test_places_are_rounded_as_sql_does(spark):
+    """Interpolated places that are a half, or nearly one, at the seventh place."""
+    cases = [(50.076705, 50.054773, 80, 70), (50.034293, 50.099073, 200, 135), (50.054214, 50.096714, 80, 70), (50.095422, 50.043682, 80, 70), (50.063757, 50.001977, 80, 70)]
+    for a, b, span, t in cases:
+        track = spark.createDataFrame([(0, a, 4.0, "f", 0), (span, b, 4.0, "f", 1)], TRACK)
+        got = asof.place(spark.createDataFrame([("p", t)], "path string, t long"), track, direct=5, distance=1e5, speed=1e4).first()
+        want = duckdb.connect().execute(f"SELECT round({a}::DOUBLE + ({b}::DOUBLE - {a}::DOUBLE) * (({t} - 0) / ({span} - 0)), 6)").fetchone()[0]
+        assert got.method == "interpolated" and got.lat == want
+
+
 @pytest.mark.parametrize("rows", [3, 1000])
 def test_brackets_and_segments_of_busy_days(spark, monkeypatch, rows):
     """Days are cut into buckets of three rows, or hardly; the result is that of one sorted list."""

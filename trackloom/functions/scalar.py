@@ -36,6 +36,12 @@ def interpolate(a: Column, b: Column, ta: Column, tb: Column, t: Column) -> Colu
     return F.when(span == 0, a).otherwise(a + (b - a) * ((t - ta) / F.when(span == 0, 1).otherwise(span)))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Rounded as SQL engines round binary numbers: the scaled number's nearest whole one, halves away from zero (Spark's
+    own ``round`` goes by the shortest decimal text, which may be a half where the number is none, and none where it scales to one)."""
+    return F.round(value * float(10**places)) / float(10**places)
+
+
 def naive_time(text: Column) -> Column:
     """Wall time of the first 19 characters; null where they are none."""
     return F.try_to_timestamp(F.substring(text, 1, 19), F.lit(NAIVE)).cast("timestamp_ntz")

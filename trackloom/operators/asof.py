@@ -73,7 +73,7 @@ def place(items: DataFrame, track: DataFrame, direct: float = 60, gap: float = 1
 
     With both brackets a failed gate blocks; extrapolation is for items beyond
     the track, from its last (first) two points.  Coordinates that are computed
-    are rounded to 6 places.
+    are rounded to 6 places, as SQL does.
     """
     rows = bracket(items, track).crossJoin(F.broadcast(ends(track)))
     t, b, a = F.col("t"), F.col("before"), F.col("after")
@@ -89,8 +89,8 @@ def place(items: DataFrame, track: DataFrame, direct: float = 60, gap: float = 1
     method = F.when(is_direct, "direct").when(between & fits, "interpolated").when(beyond, "extrapolated").otherwise("blocked")
 
     def value(c: str) -> Column:
-        inner = F.round(scalar.interpolate(b[c], a[c], b["t"], a["t"], t), 6)
-        outer = F.round(F.when(q.isNull() | (q["t"] == p["t"]), p[c]).otherwise(scalar.interpolate(q[c], p[c], q["t"], p["t"], t)), 6)
+        inner = scalar.rounded(scalar.interpolate(b[c], a[c], b["t"], a["t"], t), 6)
+        outer = scalar.rounded(F.when(q.isNull() | (q["t"] == p["t"]), p[c]).otherwise(scalar.interpolate(q[c], p[c], q["t"], p["t"], t)), 6)
         return F.when(method == "direct", near[c]).when(method == "interpolated", inner).when(method == "extrapolated", outer)
 
     file = F.when(method == "direct", near["file"]).when(method == "interpolated", b["file"]).when(method == "extrapolated", p["file"])
