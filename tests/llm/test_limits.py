@@ -414,3 +414,28 @@ def test_pack_crc_of_a_long_text(spark):
     ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
     rows = packing.pack(docs_of(spark, [text]), entry.tokenizer_path(), ids=False).orderBy("piece").collect()
     assert [(r.start, r.length, r.ids_crc32) for r in rows] == [(a, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for a in range(0, len(ids), 2048) for x in [ids[a : a + 2048]]]
+
+
+# --- memory of workers -----------------------------------------------------------------------
+
+
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * resource.getpagesize() / 1e6
+
+
+def test_kernels_give_memory_back():
+    """200 MB of small blocks below one that stays: the C library keeps them unless it is told to trim."""
+    stays = []
+
+    def kernel(batches):
+        for batch in batches:
+            blocks = [bytearray(b"x" * 50_000) for _ in range(4000)]
+            stays.append(bytearray(b"x" * 50_000))
+            del blocks
+            yield batch
+
+    batch = pa.record_batch({"x": [1]})
+    before = resident()
+    assert list(common.on_batches(kernel)(iter([batch, batch]))) == [batch, batch]
+    assert resident() - before < 60

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,40 @@ from pyspark.sql import functions as F
 from ..session import folder, ship
 
 
+def release() -> None:
+    """Give freed memory back to the system.  A worker lives on after its task, and what Arrow and the C library keep of
+    freed blocks would count beside all that the executor runs next."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # of glibc alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def on_group(fn: Callable, **fixed) -> Callable:
-    """``fn`` with some arguments fixed, as applyInArrow takes it (it reads type hints)."""
+    """``fn`` with some arguments fixed, as applyInArrow takes it (it reads type hints); memory is given back after large groups."""
 
     def call(group: pa.Table) -> pa.Table:
-        return fn(group, **fixed)
+        large = group.nbytes > 1_000_000
+        out = fn(group, **fixed)
+        del group
+        if large:
+            release()
+        return out
+
+    return call
+
+
+def on_batches(fn: Callable, **fixed) -> Callable:
+    """``fn`` with some arguments fixed, as mapInArrow takes it; memory is given back after each batch and at the end."""
+
+    def call(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                release()
+
+        yield from fn(each(), **fixed)
+        release()
 
     return call
 

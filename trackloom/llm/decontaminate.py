@@ -36,7 +36,6 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -45,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
+from .common import on_batches
 
 BLOCK = 2_000_000
 ITEMS, ITEM_BYTES = 20_000, 16_000_000
@@ -302,7 +302,7 @@ def _held(batches, k: int):
 
 def weights(items: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the shingles that two items or more hold, counted over all items; any other shingle weighs 1."""
-    t = items.select("text").mapInArrow(partial(_held, k=k), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    t = items.select("text").mapInArrow(on_batches(_held, k=k), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").toArrow()
     keys = t.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], 1.0 / t.column("n").to_numpy()[order]
@@ -322,7 +322,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         part = texts.where(F.pmod(F.hash("key"), F.lit(blocks)) == b).toArrow()
         with np.errstate(over="ignore"):
             index = build(part.column("key").to_pylist(), part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string()), k, shared, least)
-        found = rows.mapInArrow(partial(_search, index=index, k=k, least=least), "doc_id long, item_id long, similarity double, start_word long, n_words long")
+        found = rows.mapInArrow(on_batches(_search, index=index, k=k, least=least), "doc_id long, item_id long, similarity double, start_word long, n_words long")
         out = found if out is None else out.union(found)
     names = items.select("id", "key")
     return out.join(names, out.item_id == names.key).select("doc_id", F.col("id").alias("item_id"), "similarity", "start_word", "n_words")

@@ -39,7 +39,6 @@ table gives an empty result.  Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import components, on_group, saved, scope, small_or_shuffled
+from .common import components, on_batches, on_group, saved, scope, small_or_shuffled
 
 #: Bytes of text handled at once.
 BLOCK = 4_000_000
@@ -368,18 +367,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Of the tables written on the way only the two that the result reads are kept.
     with scope(spark) as made:
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        scan, scan_path = saved(base.mapInArrow(partial(_scan, k=k), "doc_id long, n long, k1 long, k2 long, hot long, texts long"), "sets")
+        scan, scan_path = saved(base.mapInArrow(on_batches(_scan, k=k), "doc_id long, n long, k1 long, k2 long, hot long, texts long"), "sets")
         sets = scan.where("n is not null").select("doc_id", "n", "k1", "k2")
         rows, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         # The size bound: shingles in a share of all texts; their number is below the mean set's size divided by that share.
         found = scan.where("hot is not null").groupBy("hot").agg(F.sum("texts").alias("c")).where(F.col("c") >= max(HOT_LEAST, rows * HOT_SHARE)).select("hot")
         hot = np.sort(found.toArrow().column("hot").to_numpy().view(np.uint64))
         cuts = max(4, math.ceil(total / FRAGMENT))
-        dealt = base.select("text").mapInArrow(partial(_deal, k=k, fragments=cuts, hot=hot), "dest long, keys binary, sizes binary, counts binary, shingles binary")
+        dealt = base.select("text").mapInArrow(on_batches(_deal, k=k, fragments=cuts, hot=hot), "dest long, keys binary, sizes binary, counts binary, shingles binary")
         shared = dealt.groupBy("dest").applyInArrow(on_group(_shared, fragments=cuts, homes=cuts), "home long, keys binary, sizes binary, counts binary, shingles binary, dfs binary")
         alive, _ = saved(shared.groupBy("home").applyInArrow(on_group(_survivors, num=num, den=den), "key long, n int, shingles binary, prefix binary"), "alive")
 
-        posts, _ = saved(alive.select("key", "prefix").mapInArrow(_postings, "shingle long, key long"), "prefix")
+        posts, _ = saved(alive.select("key", "prefix").mapInArrow(on_batches(_postings), "shingle long, key long"), "prefix")
         least = posts.groupBy("shingle").agg(F.min("key").alias("m"), F.max("key").alias("top")).where("m < top").select("shingle", "m")
         chained = posts.join(least, "shingle").select(F.col("key").alias("u"), F.col("m").alias("v"))
         groups = components(chained)

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
+from .common import on_batches
 
 BLOCK = 2_000_000
 BITS = 16
@@ -119,7 +119,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             left -= take
         share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col(lang_col)]
         rows = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share)
-    counts = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, bucket int, n long")
+    counts = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(on_batches(_count), "lang string, bucket int, n long")
     t = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(t.column("lang").to_pylist()))
     table = np.zeros(((1 << BITS) + SCRIPTS, len(langs)))
@@ -263,7 +263,7 @@ def label(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     at = [docs.columns.index(c) for c in keep]
     schema = ", ".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in at)
     schema += ", lang_pred string, score double" + ", spans array<struct<start: bigint, end: bigint, lang: string>>" * spans
-    return docs.mapInArrow(partial(_label, model=model, spans=spans, text_at=docs.columns.index(text_col), kept=at), schema)
+    return docs.mapInArrow(on_batches(_label, model=model, spans=spans, text_at=docs.columns.index(text_col), kept=at), schema)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
+from .common import on_batches
 
 BLOCK = 1_000_000
 #: Slots of a worker's table of known words, and ids it holds before it starts anew (results do not depend on either).
@@ -243,4 +243,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]``."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * ids
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return rows.mapInArrow(partial(_pack, path=tokenizer, capacity=capacity, open_bins=open_bins, ids=ids), schema)
+    return rows.mapInArrow(on_batches(_pack, path=tokenizer, capacity=capacity, open_bins=open_bins, ids=ids), schema)

@@ -30,13 +30,14 @@ import hashlib
 import re
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import on_batches
+
 KINDS = ("email", "ip", "card", "phone")
 _LABELS = len(KINDS) + 1  # 0 is none
 #: Weight of a base span of the same normal form. It is set, not learned: the base labels call every repetition that the patterns miss none.
@@ -208,7 +209,7 @@ def train(docs: DataFrame, text_col: str = "text", max_rows: int = 20_000, steps
     n = docs.count()
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
-    t = rows.mapInArrow(_cases, "shape string, near string, far string, label int, n long").groupBy("shape", "near", "far", "label").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+    t = rows.mapInArrow(on_batches(_cases), "shape string, near string, far string, label int, n long").groupBy("shape", "near", "far", "label").agg(F.sum("n").alias("n")).toArrow().to_pylist()
     t.sort(key=lambda r: (r["shape"], r["near"], r["far"], r["label"]))
     shapes = {s: i for i, s in enumerate(sorted({r["shape"] for r in t}))}
     node, chain, skip = np.zeros((len(shapes) + 1, _LABELS)), np.zeros((_LABELS, _LABELS)), np.zeros((_LABELS, _LABELS))
@@ -322,7 +323,7 @@ def _find(batches, model: Model, least: float):
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """``(doc_id, spans)``: per document its spans ``(start, end, kind, base)`` in order."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return rows.mapInArrow(partial(_find, model=model, least=least), "doc_id long, spans array<struct<start: bigint, end: bigint, kind: string, base: boolean>>")
+    return rows.mapInArrow(on_batches(_find, model=model, least=least), "doc_id long, spans array<struct<start: bigint, end: bigint, kind: string, base: boolean>>")
 
 
 def _redact(batches, model: Model, least: float, at: int):
@@ -346,4 +347,4 @@ def _redact(batches, model: Model, least: float, at: int):
 def redact(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.8) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets."""
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(partial(_redact, model=model, least=least, at=at), docs.schema)
+    return docs.mapInArrow(on_batches(_redact, model=model, least=least, at=at), docs.schema)
