@@ -276,3 +276,18 @@ def test_nearest_segment_bounds(spark):
     f = spark.createDataFrame(frames, "path string, t long, lat double, lon double")
     got = spatial.nearest_segment(f, t).collect()
     assert [(r.path, r.metres, r.offset_s, r.duration_s, r.point) for r in got] == [("on", 0.0, -10, 100, 0)]
+
+
+def test_pins_need_no_names(spark, sf):
+    """Only places are pinned: neither the renames nor the whole plan are written for them."""
+    from trackloom import queries_geotag
+    from trackloom.adapters import Tables
+
+    kept, queries_geotag.Stages.kept = queries_geotag.Stages.kept, {}
+    try:
+        queries_geotag.pins_j23(Tables(spark, sf)).collect()
+        (stages,) = queries_geotag.Stages.kept.values()
+        assert "decided" in vars(stages)
+        assert not {"renames", "operations"} & set(vars(stages))
+    finally:
+        queries_geotag.Stages.kept = kept

@@ -27,11 +27,11 @@ def rename_plan(photos: DataFrame) -> DataFrame:
     return p.join(named, "path", "left").select("path", "name", F.coalesce("new_name", "name").alias("new_name"), "rename")
 
 
-def file_operations(decided: DataFrame, renames: DataFrame, times: bool = True, offsets: bool = True, names: bool = True) -> DataFrame:
+def file_operations(decided: DataFrame, renames: DataFrame | None, times: bool = True, offsets: bool = True, names: bool = True) -> DataFrame:
     """``(path, dest, seq, kind, payload, op_id)`` of every photo: time, place, marker and name, as the policy allows.
 
-    ``decided`` has ``path, dest, utc, zone, category, to_lat, to_lon``."""
-    p = decided.join(renames.select("path", "name", "new_name", "rename"), "path", "left")
+    ``decided`` has ``path, dest, utc, zone, category, to_lat, to_lon``; ``renames`` are read for names alone."""
+    p = decided.join(renames.select("path", "name", "new_name", "rename"), "path", "left") if names else decided
     local, offset = scalar.utc_to_text(F.timestamp_seconds("utc").cast("timestamp_ntz"), F.col("zone"))
     text = F.concat_ws(" ", local, offset) if offsets else local
     origin = F.create_map(*[F.lit(x) for k, (o, _) in ORIGINS.items() for x in (k, o)])[F.col("category")]

@@ -364,7 +364,9 @@ def reverts_j16(s):
 
 @query(_OPS + """ SELECT fp, min(path) AS path, min_by(t % 2 = 0, path) AS present FROM shots WHERE path IN (SELECT path FROM ops WHERE kind = 'metadata_gps_write' AND payload LIKE '%apply_manual') AND fp NOT IN (SELECT fp FROM led) GROUP BY fp""")
 def pins_j23(s):
-    st, _, ops = _operations(s)
+    """Places alone are pinned, so neither names nor the whole plan are made for it."""
+    st = Stages.of(s)
+    ops = execution.file_operations(st.decided, None, times=False, names=False)
     lat = F.when(F.col("t") % 2 == 0, F.col("lat"))
     photos = st.shots.select("fp", "path", rules.pre_state(lat, F.col("lon"), F.lit(None).cast("string")).alias("pre"))
     return execution.pins(ops, photos, _ledger(s, st.shots)).select("fp", "path", F.col("pre.present").alias("present"))
