@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 
@@ -359,3 +360,54 @@ def test_names_need_no_whole_photos(spark, sf, stages):
     assert equals_sql(spark, sf, "rename_plan_w4")
     (made,) = stages.values()
     assert "renames" in vars(made) and "resolved" not in vars(made)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """What a stage shuffled is not left on disk until the driver collects its garbage."""
+    from pathlib import Path
+
+    from trackloom.session import cut
+
+    def shuffled():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = shuffled()
+    df = cut(spark.range(100_000).selectExpr("id % 50000 AS k").groupBy("k").count())
+    assert df.where("count = 2").count() == 50_000
+    assert not {f for f in shuffled() - before if f.stat().st_size > 50_000}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    from urllib.parse import urlparse
+
+    from trackloom.session import cut, settled
+
+    made = []
+
+    def make():
+        made.append(cut(spark.range(10)))
+        made.append(settled(spark, lambda: made[0].selectExpr("id + 1 AS id")))
+        return made[1].selectExpr("id * 2 AS id")
+
+    out = settled(spark, make)
+    assert sorted(r.id for r in out.collect()) == list(range(2, 21, 2))
+    folders = [os.path.dirname(urlparse(f).path) for df in made for f in df.inputFiles()]
+    assert folders and not [f for f in folders if os.path.exists(f)]
+
+
+@pytest.mark.parametrize("name", ["time_decisions_c2", "console_counts_a17"])
+def test_decisions_keep_two_tables(spark, sf, stages, name):
+    """What matching and cells wrote on their way is deleted; zones and cells stay, and are read again."""
+    from pathlib import Path
+
+    from trackloom import queries
+    from trackloom.session import shared_dir
+
+    at = Path(shared_dir(spark).removeprefix("file://")) / "trackloom" / spark.sparkContext.applicationId
+    before = set(at.glob("*"))
+    first = sorted(queries.QUERIES[name](spark, sf).collect())
+    assert len(set(at.glob("*")) - before) == 2
+    assert sorted(queries.QUERIES[name](spark, sf).collect()) == first

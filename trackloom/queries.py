@@ -11,7 +11,7 @@ from .adapters import CLASSES, with_
 from .functions import scalar
 from .operators import asof, cluster, hierarchy, naming, relational, spatial
 from .registry import ORACLES, QUERIES, query
-from .session import cut
+from .session import settled
 from .sources import gpx
 
 _HAV = "2 * 6371000.0 * atan2(sqrt({a}), sqrt(1 - {a}))"
@@ -124,7 +124,7 @@ def skip_reason_j22(s):
 def _found(s):
     """Every native frame's nearest point, or else its nearest segment: a row for each path and time."""
     frames, track = s.photos().where("native"), s.track()
-    near = cut(spatial.nearest_point(frames, track).select("path", "metres", "offset_s", F.lit("point").alias("kind")))
+    near = settled(s.spark, lambda: spatial.nearest_point(frames, track).select("path", "metres", "offset_s", F.lit("point").alias("kind")))
     far = spatial.nearest_segment(frames.join(near.select("path"), "path", "left_anti"), track, reach=200).select("path", "metres", "offset_s", F.lit("segment").alias("kind"))
     return near.union(far)
 

@@ -13,7 +13,7 @@ from .functions import rules
 from .operators import hierarchy, spatial
 from .plans import decisions, execution
 from .registry import query
-from .session import cut, folder
+from .session import cut, folder, settled
 
 # --- zones and fallback places ---------------------------------------------------------------
 
@@ -138,11 +138,12 @@ class Stages:
 
     @cached_property
     def zoned(self):
-        return cut(_zoned(self.s, "Europe/Brussels"))
+        return settled(self.s.spark, lambda: _zoned(self.s, "Europe/Brussels"))
 
     @cached_property
     def cells(self):
-        return cut(_cells(self.s, self.shots, _matches(self.s), self.zoned))
+        zoned = self.zoned  # a stage of its own, which stays
+        return settled(self.s.spark, lambda: _cells(self.s, self.shots, _matches(self.s), zoned))
 
     @cached_property
     def drift(self):

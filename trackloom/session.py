@@ -8,10 +8,15 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Tables cut within each ``settled`` that is open, the innermost last.
+_MADE: list[list[str]] = []
+#: Deletes the shuffle files of a query when it ends; else they stay until the driver happens to collect its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,13 +59,40 @@ def folder(spark: SparkSession, name: str = "stage") -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete the application's scratch tables, once its results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/trackloom/{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_dir(spark)}/trackloom/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The table written to the shared folder and read back: a stage that several later ones read is computed once, and
-    a lost executor costs a reread."""
-    at = folder(df.sparkSession)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    a lost executor costs a reread.  Shuffle files that it took are deleted."""
+    spark = df.sparkSession
+    at, before = folder(spark), spark.conf.get(_TIDY)
+    if _MADE:
+        _MADE[-1].append(at)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(_TIDY, before)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make()`` returns, cut; the tables that were cut on the way to it are deleted."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        df = cut(make())
+        kept = made.pop()
+    finally:
+        _MADE.pop()
+        for at in made:
+            _delete(spark, at)
+    if _MADE:
+        _MADE[-1].append(kept)
+    return df
