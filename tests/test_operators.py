@@ -411,3 +411,38 @@ def test_decisions_keep_two_tables(spark, sf, stages, name):
     first = sorted(queries.QUERIES[name](spark, sf).collect())
     assert len(set(at.glob("*")) - before) == 2
     assert sorted(queries.QUERIES[name](spark, sf).collect()) == first
+
+
+def test_nearest_point_in_wide_and_narrow_cells(spark, capsys):
+    """Each narrowed search finds what brute force finds, at the poles' side, at the date line and at the cells' edges too."""
+    random.seed(3)
+
+    def around(n, kind):
+        centres = [(50.0, 4.0), (-0.0005, 179.9999), (84.99, -180.0), (0.0, 0.0)]
+        rows = []
+        for i in range(n):
+            lat, lon = centres[i % 4]
+            lon = lon + random.uniform(-60, 60) / 111_000 / math.cos(math.radians(lat))
+            rows.append((f"{kind}{i}", i, random.randrange(0, 900_000), lat + random.uniform(-60, 60) / 111_000, (lon + 180) % 360 - 180))
+        return rows
+
+    frames, points = around(240, "f"), around(400, "p")
+    f = spark.createDataFrame([(p, t, la, lo) for p, _, t, la, lo in frames], "path string, t long, lat double, lon double")
+    k = spark.createDataFrame([(t, la, lo, "t", i) for _, i, t, la, lo in points], "t long, lat double, lon double, file string, idx long")
+
+    def metres(a, b):
+        la, lo, lb, lob = map(math.radians, (a[3], a[4], b[3], b[4]))
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lob - lo) / 2) ** 2
+        return 2 * 6371000 * math.asin(math.sqrt(h))
+
+    want = {}
+    for a in frames:
+        near = [(metres(a, b), b[2], b[1]) for b in points if abs(a[2] - b[2]) <= 172_800 and metres(a, b) <= 50]
+        if near:
+            want[a[0]] = min(near)[2]
+    assert len(want) > 50
+    for at_once, staged in ((1, True), (10**9, False)):
+        assert {r.path: r.point for r in spatial.nearest_point(f, k, at_once=at_once, staged=staged).collect()} == want
+    # The least distances are written before they are searched for, so the two searches' shuffles are not one query's.
+    spatial.nearest_point(f, k, staged=True).explain()
+    assert "partial_min(metres" not in capsys.readouterr().out

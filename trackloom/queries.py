@@ -124,8 +124,8 @@ def skip_reason_j22(s):
 def _found(s):
     """Every native frame's nearest point, or else its nearest segment: a row for each path and time."""
     frames, track = s.photos().where("native"), s.track()
-    near = settled(s.spark, lambda: spatial.nearest_point(frames, track).select("path", "metres", "offset_s", F.lit("point").alias("kind")))
-    far = spatial.nearest_segment(frames.join(near.select("path"), "path", "left_anti"), track, reach=200).select("path", "metres", "offset_s", F.lit("segment").alias("kind"))
+    near = settled(s.spark, lambda: spatial.nearest_point(frames, track, staged=True).select("path", "metres", "offset_s", F.lit("point").alias("kind")))
+    far = spatial.nearest_segment(frames.join(near.select("path"), "path", "left_anti"), track, reach=200, staged=True).select("path", "metres", "offset_s", F.lit("segment").alias("kind"))
     return near.union(far)
 
 
